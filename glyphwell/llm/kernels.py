@@ -8,7 +8,7 @@ is treated as an empty one; callers that must tell them apart look at validity.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,21 +81,27 @@ def word_spans(raw: np.ndarray, starts: np.ndarray, member: np.ndarray = IS_WORD
     return first, last, np.searchsorted(starts, first, side="right") - 1
 
 
-def span_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span raw[first:last], from prefix sums of a polynomial.
+def span_hasher(raw: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of (first, last): 64-bit hashes of the spans raw[first:last], from prefix sums of a polynomial.
 
     Equal spans have equal hashes wherever they stand; the powers that a span's
     position brings in are divided out again.
     """
-    if len(first) == 0:
-        return np.zeros(0, np.uint64)
     n = len(raw)
     powers, inverse = _powers(n + 1)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
-    value = (sums[last] - sums[first]) * inverse[first]
-    return mix64(value + (last - first).astype(np.uint64) * _MULT)
+
+    def hashes(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return mix64((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64) * _MULT)
+
+    return hashes
+
+
+def span_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The hashes of ``span_hasher`` for one set of spans."""
+    return span_hasher(raw)(first, last) if len(first) else np.zeros(0, np.uint64)
 
 
 _tables: dict[str, np.ndarray] = {}
