@@ -1,0 +1,162 @@
+"""URL filter: logistic regression on hashed character n-grams of host and path.
+
+Host and path (with the query) are taken from the URL in lower case, each between
+boundary marks, and every run of 3 to 5 bytes of either is hashed to one of
+``2 ** BITS`` buckets, hosts and paths apart. A URL's score is the mean weight of
+its n-grams, scaled by their number's square root, plus a bias. The weights are
+trained from a small labelled table; ``LABELLED`` ships one of unwanted kinds
+(adult, gambling, counterfeits, malware, link farms) and ordinary pages, and any
+other table of URLs and labels serves as well.
+
+Training happens on the driver with the table given, of at most
+``LABELLED_ROWS`` rows; scoring is one narrow step over all URLs.
+
+Defined results: a null, empty or hostless URL is scored by what it has; one
+without any n-gram has the score of the bias and is not blocked. Equal URLs are
+scored alike. Other columns are not read.
+"""
+
+from __future__ import annotations
+
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+
+from glyphwell.llm import kernels
+from glyphwell.llm.arrow import map_batches, record
+
+BITS = 18
+SIZES = (3, 4, 5)
+LABELLED_ROWS = 100_000
+RIDGE = 1e-3
+BLOCK_AT = 0.5
+
+_BAD_HOSTS = """hot-xxx-tube.example freeporn-videos.example best-casino-bonus.example online-casino-slots.example xxx-cams-live.example
+sexy-webcam-girls.example adult-dating-hookup.example pornhub-mirror.example nude-celebs-pics.example escort-service-city.example
+cheap-viagra-pills.example buy-cialis-online.example pharmacy-no-prescription.example replica-watches-shop.example fake-rolex-store.example
+poker-bet-win.example sportsbet-bonus.example bet365-mirror.example jackpot-slots-777.example lucky-roulette.example
+free-crack-keygen.example warez-download.example serial-keys-crack.example torrent-pirate-movies.example hack-tool-cheats.example
+payday-loan-fast.example instant-cash-loans.example get-rich-quick-crypto.example bitcoin-doubler.example forex-signals-profit.example
+secure-login-verify-account.example paypa1-account-update.example appleid-verify-support.example bank-login-confirm.example free-iphone-winner.example
+seo-backlinks-cheap.example buy-followers-likes.example link-farm-directory.example click-here-free-prize.example weight-loss-miracle.example
+essay-writing-service-cheap.example milf-sex-chat.example hentai-manga-xxx.example camgirls-strip.example gambling-casino-royal.example"""
+_GOOD_HOSTS = """www.city-library.example en.encyclopedia.example news.daily-herald.example www.university-physics.example docs.programming-guide.example
+blog.gardening-notes.example www.museum-of-art.example recipes.home-kitchen.example weather.region-forecast.example www.national-archive.example
+journal.medicine-review.example forum.bicycle-repair.example www.town-council.example support.printer-manuals.example shop.bookseller.example
+maps.hiking-trails.example www.school-district.example science.space-agency.example wiki.open-source.example history.old-towns.example
+m.local-news.example blog.travel-diary.example www.symphony-orchestra.example learn.languages.example data.statistics-office.example
+www.parliament-records.example research.climate-lab.example www.botanical-society.example static.image-host.example podcast.radio-culture.example
+www.example.com blog.example.org m.example.net api.developer-portal.example www.theatre-programme.example community.astronomy-club.example
+www.law-review.example health.public-service.example www.railway-timetable.example photo.landscape-prints.example sport.football-league.example
+music.song-lyrics.example www.chess-federation.example art.watercolour-school.example www.volunteer-fire-brigade.example"""
+_BAD_PATHS = "/ /free-xxx-videos/watch?id=31 /casino/bonus/signup?ref=aff77 /buy-cheap-pills-online.html /porn/teen/gallery-12 /login/verify/account.php?session=9f3 /download/crack-keygen.exe /slots/jackpot?promo=win"
+_GOOD_PATHS = "/ /en/12345 /de/4711.html /articles/2019/05/spring-meadow /index.html?page=2&ref=x /about/contact /docs/guide/chapter-3#top /fr/98/ /es/news?utm_source=feed"
+
+
+def _table() -> list[tuple[str, int]]:
+    out = []
+    for label, hosts, paths in ((1, _BAD_HOSTS, _BAD_PATHS.split()), (0, _GOOD_HOSTS, _GOOD_PATHS.split())):
+        for k, host in enumerate(hosts.split()):
+            # Top-level names go round, so that they tell nothing.
+            named = re.sub(r"\.example$", (".example.com", ".example.net", ".example.org")[k % 3], host)
+            out += [(f"{('http', 'https')[(k + j) % 2]}://{named}{paths[(k + j) % len(paths)]}", label) for j in range(4)]
+    return out
+
+
+#: URLs and labels, 1 for unwanted.
+LABELLED: list[tuple[str, int]] = _table()
+
+_HOST = r"^(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
+_PATH = r"^(?:(?:[a-z][a-z0-9+.\-]*:)?//[^/?#]*)?([^#]*)"
+
+
+def parts(url: Column) -> tuple[Column, Column]:
+    """Host and path of a URL in lower case, between boundary marks; null counts as empty."""
+    low = F.lower(F.coalesce(url, F.lit("")))
+    mark = lambda c: F.when(c != "", F.concat(F.lit("^"), c, F.lit("$"))).otherwise(F.lit(""))
+    return mark(F.regexp_extract(low, _HOST, 1)), mark(F.regexp_extract(low, _PATH, 1))
+
+
+def parts_of(url: str | None) -> tuple[str, str]:
+    low = (url or "").lower()
+    found = [m.group(1) if (m := re.match(p, low)) else "" for p in (_HOST, _PATH)]
+    return tuple(f"^{x}$" if x else "" for x in found)
+
+
+def grams(hosts: pa.Array, paths: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and bucket of every n-gram."""
+    rows, buckets = [], []
+    for seed, column in enumerate((hosts, paths)):
+        raw, starts = kernels.string_buffer(column)
+        for first, last in kernels.slices(starts):
+            part, at = raw[starts[first] : starts[last]], starts[first : last + 1] - starts[first]
+            row = np.repeat(np.arange(last - first), np.diff(at))
+            for n in SIZES:
+                begin = np.arange(max(0, len(part) - n + 1))
+                begin = begin[row[begin] == row[begin + n - 1]] if len(begin) else begin
+                h = kernels.mix64(kernels.span_hashes(part, begin, begin + n) + np.uint64(seed + 1))
+                rows.append(row[begin] + first)
+                buckets.append((h >> np.uint64(64 - BITS)).astype(np.int64))
+    return np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(buckets or [np.zeros(0, np.int64)])
+
+
+class Model:
+    def __init__(self, weights: np.ndarray, bias: float) -> None:
+        self.weights, self.bias = weights, bias
+
+    def probability(self, hosts: pa.Array, paths: pa.Array) -> np.ndarray:
+        row, bucket = grams(hosts, paths)
+        n = np.bincount(row, minlength=len(hosts))
+        odds = np.bincount(row, weights=self.weights[bucket], minlength=len(hosts)) / np.sqrt(np.maximum(n, 1)) + self.bias
+        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+
+
+def train(table: list[tuple[str | None, int]] = LABELLED, ridge: float = RIDGE, rounds: int = 400) -> Model:
+    """The model of a table of URLs and labels, by accelerated gradient steps with both classes of equal mass."""
+    if len(table) > LABELLED_ROWS:
+        raise ValueError(f"the labelled table has over {LABELLED_ROWS} rows")
+    y = np.array([label for _, label in table], float)
+    weights = np.zeros(1 << BITS, np.float64)
+    if not len(y) or y.min() == y.max():
+        return Model(weights, 0.0 if not len(y) else (-20.0, 20.0)[int(y[0])])
+    hosts, paths = zip(*(parts_of(url) for url, _ in table))
+    row, bucket = grams(pa.array(hosts, pa.string()), pa.array(paths, pa.string()))
+    used, column = np.unique(bucket, return_inverse=True)
+    n = len(y)
+    value = (1 / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1)))[row]
+    mass = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y <= 0).sum())
+    w, b = np.zeros(len(used)), 0.0
+    # Repeats of an n-gram make rows longer than one; the longest bounds the curvature.
+    sums = np.unique(row * len(used) + column, return_counts=True)
+    longest = np.bincount(sums[0] // len(used), weights=(sums[1] / np.sqrt(np.bincount(row, minlength=n))[sums[0] // len(used)]) ** 2, minlength=n).max()
+    step = 1 / ((longest + 1) / 4 + ridge)
+    ahead_w, ahead_b, t = w, b, 1.0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=ahead_w[column] * value, minlength=n) + ahead_b, -500, 500)))
+        error = mass * (p - y)
+        w_next = ahead_w - step * (np.bincount(column, weights=error[row] * value, minlength=len(used)) + ridge * ahead_w)
+        b_next = ahead_b - step * error.sum()
+        t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        ahead_w, ahead_b = w_next + (t - 1) / t_next * (w_next - w), b_next + (t - 1) / t_next * (b_next - b)
+        w, b, t = w_next, b_next, t_next
+    weights[used] = w
+    return Model(weights, b)
+
+
+def judge(pages: DataFrame, key: str = "page_id", url: str = "url", model: Model | None = None, block_at: float = BLOCK_AT) -> DataFrame:
+    """``page_id``, ``unwanted`` (a probability) and ``blocked`` of every page."""
+    model = model or train()
+    host, path = parts(F.col(url))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        p = model.probability(batch.column(1), batch.column(2))
+        grams_any = np.array([bool(h or q) for h, q in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())], bool)
+        return record({"page_id": pa.int64(), "unwanted": pa.float64(), "blocked": pa.bool_()}, page_id=batch.column(0), unwanted=p, blocked=(p >= block_at) & grams_any)
+
+    return map_batches(pages.select(F.col(key).cast("bigint").alias("page_id"), host.alias("host"), path.alias("path")), run, "page_id bigint, unwanted double, blocked boolean")
+
+
+def query(spark, sf_dir: str) -> DataFrame:
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
