@@ -2,25 +2,52 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphwell.llm import simhash
+from glyphwell.llm import chunks, decontaminate, packing, quality, simhash
 from glyphwell.session import shared_folder
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier doesn't reject."""
+    return quality.drop_poor(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
     return simhash.drop_near_copies(docs)
 
 
-STAGES = [("simhash_near_dedup", near_copies)]
+def unrepeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without passages that stand in another one."""
+    return chunks.drop_repeats(docs)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that repeat no benchmark item."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of a document in the training bins."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", good_quality),
+    ("simhash_near_dedup", one_of_near_copies),
+    ("substring_dedup", unrepeated_passages),
+    ("benchmark_decontamination", uncontaminated),
+    ("harmonic_packing", packed),
+]
 #: SQL can't state the ranking model, the fingerprints or the rolling hash.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn over documents, each written as Parquet and read again."""
-    import uuid
-
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
