@@ -3,10 +3,10 @@
 A gear hash rolls over the bytes of a text, which is first normalised to
 lower-case words with single spaces, so that other line breaks, punctuation or
 case hide no repeat: at every byte it shifts left by one and adds the byte's random number, so its bit ``k`` depends on the last ``k + 1``
-bytes. Where ``CUT_BITS`` bits of it are zero a chunk may end; it does unless
-another such place is fewer than ``LEAST`` bytes before. The rule looks at no
-more than the last ``WINDOW + LEAST`` bytes, so after an insertion chunks are the
-same again. Chunks end between characters and are at most ``MOST`` bytes.
+bytes. Where ``CUT_BITS`` bits of it are zero a chunk may end. Such places less
+than ``LEAST`` bytes apart form a chain, of which the first ends a chunk and then
+each that is ``LEAST`` bytes further on. Chains are short and begin anew after
+any gap, so soon after an insertion chunks are the same again. Chunks end between characters and are at most ``MOST`` bytes.
 
 Chunks are deduplicated by a 64-bit digest: of equal chunks the first by
 document and offset stays, and every other one is a repeat. Adjacent repeats
@@ -37,7 +37,7 @@ from glyphwell.session import free_names
 WINDOW = 16
 CUT_BITS = 5
 LEAST = 16
-MOST = 1024
+MOST = 256
 #: Bytes of a run of repeated chunks that makes a passage.
 RUN = 120
 
@@ -62,13 +62,19 @@ def cuts(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inner = inner[(inner < len(raw)) & (inner - starts[row] >= WINDOW)]  # the window lies in the row
     inner = inner[(raw[inner] & 0xC0) != 0x80]
     row = np.searchsorted(starts, inner, side="right") - 1
-    gap = np.diff(inner, prepend=-LEAST)
-    gap = np.minimum(gap, inner - starts[row])
-    inner = inner[gap >= LEAST]
-    edges = np.unique(np.concatenate((starts, inner)))
+    # Places nearer than LEAST form a chain: its first is taken, and then the next that is far enough.
+    head = np.flatnonzero(np.append(True, (np.diff(inner) >= LEAST) | (row[1:] != row[:-1]))[: len(inner)])
+    last = np.append(head[1:], len(inner))
+    taken = [inner[head]]
+    while len(head):
+        at = np.searchsorted(inner, inner[head] + LEAST)
+        more = at < last
+        head, last = at[more], last[more]
+        taken.append(inner[head])
+    edges = np.unique(np.concatenate((starts, *taken)))
     size = np.diff(edges)
     if (size > MOST).any():
-        extra = [np.arange(a + MOST, b, MOST) for a, b in zip(edges[:-1][size > MOST], edges[1:][size > MOST])]
+        extra = [np.arange(a + MOST - 3, b, MOST - 3) for a, b in zip(edges[:-1][size > MOST], edges[1:][size > MOST])]
         extra = np.concatenate(extra)
         for _ in range(3):
             extra = extra - ((raw[extra] & 0xC0) == 0x80)
