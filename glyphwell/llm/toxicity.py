@@ -43,9 +43,9 @@ RIDGE = 2e-4
 #: Words and phrases of each lexicon voter; all vote for toxicity.
 LEXICONS = {
     "stupidity": "idiot idiots idiotic moron morons moronic stupid stupidity dumb dumbass imbecile imbeciles fool fools foolish dimwit halfwit nitwit dunce brainless clueless cretin cretins simpleton blockhead ignoramus",
-    "worth": "loser losers worthless pathetic useless failure nobody good-for-nothing waste-of-space lowlife lowlifes deadbeat wretch wretched inferior",
-    "dehumanising": "scum scumbag scumbags trash garbage vermin filth filthy parasite parasites subhuman subhumans maggot maggots rat rats pig pigs swine cockroach cockroaches animal animals savage savages",
-    "ridicule": "clown clowns joke laughingstock crybaby snowflake snowflakes buffoon buffoons freak freaks weirdo weirdos creep creeps creepy wimp wimps",
+    "worth": "loser losers worthless pathetic useless good-for-nothing waste-of-space lowlife lowlifes deadbeat wretch wretched",
+    "dehumanising": "scum scumbag scumbags trash garbage vermin filth filthy parasite parasites subhuman subhumans maggot maggots rat rats pig pigs swine cockroach cockroaches savage savages",
+    "ridicule": "clown clowns laughingstock crybaby snowflake snowflakes buffoon buffoons freak freaks weirdo weirdos creep creeps creepy wimp wimps",
     "disgust": "disgusting disgust disgusts revolting repulsive gross vile nasty sickening hideous ugly stinking stinks repugnant loathsome abhorrent despicable",
     "profanity": "fuck fucks fucked fucker fuckers fucking motherfucker motherfuckers shit shits shitty bullshit asshole assholes bastard bastards bitch bitches dick dickhead prick pricks cunt cunts crap damn piss pissed wanker wankers twat bollocks douche douchebag jackass",
     "hatred": "hate hates hated hatred despise despises detest loathe loathes racist racists bigot bigots nazi nazis fascist fascists traitor traitors liar liars coward cowards",
@@ -235,8 +235,9 @@ class LabelModel:
                 if moved < 1e-7:
                     break
             # What covariance the class leaves unexplained.
-            covariance = sum(((x - r) * (n * q)[:, None]).T @ (x - r) for r, q in zip(self.rates, (1 - p, p))) / n.sum()
-            spread = np.sqrt(np.maximum(np.diag(covariance), 1e-12))
+            means = [(n * q) @ x / max((n * q).sum(), 1e-12) for q in (1 - p, p)]
+            covariance = sum(((x - r) * (n * q)[:, None]).T @ (x - r) for r, q in zip(means, (1 - p, p))) / n.sum()
+            spread = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
             self.correlation = covariance / np.outer(spread, spread)
             strong = np.where(np.abs(self.correlation) > 0.1, np.abs(self.correlation), 0)
             np.fill_diagonal(strong, 0)
@@ -263,30 +264,50 @@ def pattern_counts(docs: DataFrame, induced: Induced = NOTHING) -> tuple[np.ndar
     return found.column("pattern").to_numpy(), found.column("n").to_numpy()
 
 
-def fit(row: np.ndarray, bucket: np.ndarray, target: np.ndarray, sample_weight: np.ndarray, ridge: float = RIDGE, rounds: int = 80) -> tuple[np.ndarray, float]:
-    """Logistic regression with soft targets, by accelerated gradient steps; only buckets of three or more rows get a weight."""
-    used, column, seen = np.unique(bucket, return_inverse=True, return_counts=True)
+def minimise(f, x: np.ndarray, rounds: int, memory: int = 10) -> np.ndarray:
+    """The minimum of a smooth convex function by L-BFGS; ``f`` gives value and gradient."""
+    value, g = f(x)
+    steps: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        q, used = g.copy(), []
+        for s, y, rho in reversed(steps):
+            used.append(rho * (s @ q))
+            q -= used[-1] * y
+        q *= (steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1]) if steps else 1 / max(np.abs(g).sum(), 1e-12)
+        for (s, y, rho), alpha in zip(steps, reversed(used)):
+            q += (alpha - rho * (y @ q)) * s
+        t, slope = 1.0, -(g @ q)
+        while True:
+            after, h = f(x - t * q)
+            if after <= value + 1e-4 * t * slope or t < 1e-6:
+                break
+            t /= 2
+        s, y = -t * q, h - g
+        x, done, value, g = x + s, value - after < 1e-9 * max(1.0, abs(value)), after, h
+        if s @ y > 1e-18:
+            steps = [*steps[1 - memory :], (s, y, 1 / (s @ y))]
+        if done:
+            break
+    return x
+
+
+def fit(row: np.ndarray, bucket: np.ndarray, target: np.ndarray, sample_weight: np.ndarray, ridge: float = RIDGE, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Weights of the buckets and a bias: logistic regression with soft targets."""
+    used, column = np.unique(bucket, return_inverse=True)
+    column, row = column.astype(np.int32), row.astype(np.int32)
     n, d = len(target), len(used)
     weight = sample_weight / sample_weight.sum()
-    live = seen >= 3
-    keep = live[column]
-    row, column = row[keep], column[keep]
-    # Step sizes by coordinate: presence counts bound the curvature.
-    width = np.bincount(row, minlength=n)
-    curve = np.bincount(column, weights=weight[row] * np.maximum(width[row], 1), minlength=d) / 4 + ridge
-    w, b = np.zeros(d), float(np.log(np.clip((weight * target).sum(), 1e-6, 1 - 1e-6) / np.clip(1 - (weight * target).sum(), 1e-6, 1)))
-    ahead_w, ahead_b, t = w, b, 1.0
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=ahead_w[column], minlength=n) + ahead_b, -500, 500)))
-        error = weight * (p - target)
-        w_next = ahead_w - (np.bincount(column, weights=error[row], minlength=d) + ridge * ahead_w) / curve
-        b_next = ahead_b - error.sum() * 4 / (1 + width.mean())
-        t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead_w, ahead_b = w_next + (t - 1) / t_next * (w_next - w), b_next + (t - 1) / t_next * (b_next - b)
-        w, b, t = w_next, b_next, t_next
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        odds = np.bincount(row, weights=x[column], minlength=n) + x[d]
+        error = weight * (1 / (1 + np.exp(-np.clip(odds, -500, 500))) - target)
+        value = (weight * (np.logaddexp(0, odds) - target * odds)).sum() + ridge / 2 * (x[:d] @ x[:d])
+        return value, np.append(np.bincount(column, weights=error[row], minlength=d) + ridge * x[:d], error.sum())
+
+    x = minimise(loss, np.zeros(d + 1), rounds)
     out = np.zeros(1 << BUCKET_BITS, np.float32)
-    out[used] = w
-    return out, b
+    out[used] = x[:d]
+    return out, float(x[d])
 
 
 class Classifier:
