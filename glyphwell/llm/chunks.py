@@ -25,12 +25,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from glyphwell.llm import kernels
-from glyphwell.llm.arrow import pieces, record
+from glyphwell.llm.arrow import map_batches, pieces, record
 from glyphwell.llm.normal import Normalised
 from glyphwell.session import free_names
 
@@ -155,15 +155,27 @@ def drop_repeats(docs: DataFrame, least: int = RUN) -> DataFrame:
     runs = repeated_runs(chunk_table(keyed, key), least)
     grouped = runs.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias(spans)).withColumnRenamed("key", key)
 
-    @F.pandas_udf("string")
-    def cut_out(texts: pd.Series, lists: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else without(t, s) for t, s in zip(texts, lists)], dtype=object)
-
-    joined = keyed.join(grouped, key, "left")
-    joined = joined.withColumn("text", cut_out("text", spans)).where(F.col(spans).isNull() | F.col("text").rlike(r"\S"))
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return joined.select(*docs.columns)
+    names = docs.columns
+
+    def cut_out(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(batch.num_columns - 1)
+        batch = batch.select(names)
+        hit = lists.is_valid()
+        if lists.null_count == len(lists):
+            return batch
+        at = batch.schema.names.index("text")
+        old = batch.column(at)
+        new = [without(old[k].as_py(), s) if (s := lists[k].as_py()) is not None else None for k in range(len(lists))]
+        keep = pa.array([t is None or not t.isspace() and t != "" for t in new])
+        new = pa.array(new, old.type)
+        batch = batch.set_column(at, batch.schema.field(at), pc.if_else(hit, new, old))
+        if "n_chars" in names:
+            n = batch.schema.names.index("n_chars")
+            batch = batch.set_column(n, batch.schema.field(n), pc.if_else(hit, pc.utf8_length(new).cast(batch.column(n).type), batch.column(n)))
+        return batch.filter(keep)
+
+    joined = keyed.join(grouped, key, "left").select(*docs.columns, spans)
+    return map_batches(joined, cut_out, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -26,11 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from glyphwell.llm import kernels
-from glyphwell.llm.arrow import pieces
-from glyphwell.session import cut, free_names
+from glyphwell.llm.arrow import map_batches, pieces
+from glyphwell.session import cut
 
 LABELLED_ROWS = 20_000
 #: Pairs that each document of the rarer class takes part in, at most.
@@ -122,18 +122,22 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> t
     return x, table["quality"].to_numpy()
 
 
-def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFrame:
-    """``docs`` with the score of every text; a narrow step."""
+def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """``doc_id`` and ``score`` of every text; a narrow step."""
 
-    @F.pandas_udf("double")
-    def linear(texts):
-        import pandas as pd
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(features(batch.column(1)) @ weights)], ["doc_id", "score"])
 
-        column = pa.array(texts, pa.large_string())
-        value = np.concatenate([features(p.column(0)) @ weights for p in pieces(iter([pa.RecordBatch.from_arrays([column], ["t"])]))] or [np.zeros(0)])
-        return pd.Series(value)
+    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id bigint, score double")
 
-    return docs.withColumn(name, linear("text"))
+
+def at_least(docs: DataFrame, weights: np.ndarray, least: float) -> DataFrame:
+    """The rows of ``docs`` with a score of ``least`` or more; a narrow step."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(features(batch.column(batch.schema.names.index("text"))) @ weights >= least))
+
+    return map_batches(docs, run, docs.schema)
 
 
 def threshold(scores: DataFrame, x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> float | None:
@@ -155,24 +159,21 @@ def kept(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataF
     x, y = labelled(docs, labels, rows)
     slim = docs.where(F.length("text") > 0).select("doc_id", "text")
     if not (y > 0).any() or not (y <= 0).any():
-        return slim.select("doc_id", F.lit(0.0).alias("score"))
+        return slim.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(0.0).alias("score"))
     weights = rank(x[y > 0], x[y <= 0])
-    scores = cut(score(slim, weights).select("doc_id", "score"))
+    scores = cut(scored(slim, weights))
     return scores.where(F.col("score") >= F.lit(threshold(scores, x, y, weights)))
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
     """``docs`` without those of too low a score, columns as they came. Texts are read again rather than shuffled."""
     x, y = labelled(docs, labels, rows)
-    worded: Column = F.length("text") > 0
+    worded = docs.where(F.length("text") > 0)
     if not (y > 0).any() or not (y <= 0).any():
-        return docs.where(worded)
+        return worded
     weights = rank(x[y > 0], x[y <= 0])
-    (name,) = free_names(docs, "score")
-    least = threshold(score(docs.where(worded).select("text"), weights).select("score"), x, y, weights)
-    if least is None:
-        return docs.where(worded)
-    return score(docs.where(worded), weights, name).where(F.col(name) >= F.lit(least)).select(*docs.columns)
+    least = threshold(scored(worded, weights), x, y, weights)
+    return worded if least is None else at_least(worded, weights, least)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
