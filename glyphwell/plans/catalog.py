@@ -2,24 +2,510 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from glyphwell.functions import text as X
+from glyphwell.functions import kernel, tables, text as X
+from glyphwell.operators import classify, relations as R
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- the same classes and lists in SQL
+
+
+def re2(pattern: str) -> str:
+    return re.sub(r"\\u([0-9A-Fa-f]{4})", r"\\x{\1}", pattern).replace("'", "''")
+
+
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'" if s.isprintable() else " || ".join(f"chr({ord(c)})" for c in s)
+
+
+def sql_each(expression: str, pairs) -> str:
+    for a, b in pairs:
+        expression = f"replace({expression}, {quoted(a)}, {quoted(b)})"
+    return expression
+
+
+SP, BN, BJ, SG = (re2(x) for x in (X.SPACE, X.BENGALI, X.BIJOY, X.SIGNAL))
+ALL_WORDS = f"SELECT unnest(regexp_extract_all(text, '[^{SP}]+')) AS word FROM documents"
+WORDS = f"WITH words AS (SELECT DISTINCT word FROM ({ALL_WORDS}))"
+
+
+def sql_count(expression: str, members: str) -> str:
+    return f"length(regexp_replace({expression}, '[^{members}]', '', 'g'))"
+
+
+def sql_fold(name: str, expression: str = "word") -> str:
+    return sql_each(expression, tables.rules(name))
+
+
+BENGALI = f"{WORDS}, bn AS (SELECT word, {sql_fold('main')} AS b FROM words)"
+
+
+def all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(X.words("text")).alias("at", "word"))
+
+
+def distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.explode(X.words("text")).alias("word")).distinct()
+
+
+def bengali(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct words as the main table reads them: Bengali of every shape, well formed or not."""
+    return distinct_words(spark, sf_dir).select("word", X.fold("word", "main").alias("b"))
+
+
+def per_word(name: str, value: Callable[[], Column], sql: str, on_bengali: bool = False) -> None:
+    """A query of one expression over the distinct words, or over what the main table reads them as."""
+    base = BENGALI if on_bengali else WORDS
+    source = bengali if on_bengali else distinct_words
+
+    @query(name, f"{base} SELECT word, {sql} AS value FROM {'bn' if on_bengali else 'words'}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return source(spark, sf_dir).select("word", value().alias("value"))
+
+
+# ---- segments and words
+
+
+@query("tokens_by_lang", f"SELECT lang, count(*) AS tokens, count(DISTINCT word) AS distinct_words FROM (SELECT lang, unnest(regexp_extract_all(text, '[^{SP}]+')) AS word FROM documents) GROUP BY lang")
 def tokens_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", F.explode(X.words("text")).alias("word"))
-    return words.groupBy("lang").agg(F.count("*").alias("tokens"), F.countDistinct("word").alias("distinct_words"))
+    return all_words(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("tokens"), F.countDistinct("word").alias("distinct_words"))
+
+
+@query("segment_counts", f"SELECT doc_id, len(regexp_extract_all(text, '[{SP}]+|[^{SP}]+')) AS segments, len(regexp_extract_all(text, '[^{SP}]+')) AS words FROM documents")
+def segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.segments("text")).cast("bigint").alias("segments"), F.size(X.words("text")).cast("bigint").alias("words"))
+
+
+@query("lossless_check", f"SELECT count(*) AS documents, count_if(array_to_string(regexp_extract_all(text, '[{SP}]+|[^{SP}]+'), '') = text)::BIGINT AS exact FROM documents")
+def lossless_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").agg(F.count("*").alias("documents"), F.count_if(F.array_join(X.segments("text"), "") == F.col("text")).alias("exact"))
+
+
+@query("whitespace_normalised", r"SELECT doc_id, md5(replace(replace(regexp_replace(text, ' +', ' ', 'g'), ' ' || chr(10), chr(10)), chr(10) || ' ', chr(10))) AS digest FROM documents")
+def whitespace_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.normalise_spaces("text")).alias("digest"))
+
+
+@query("lines_split", r"SELECT piece, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\t\n]|[^\t\n]+')) AS piece FROM documents) GROUP BY piece")
+def lines_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.explode(X.lines("text")).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+
+
+@query("conversation_tokens", f"SELECT conv_id, sum(len(regexp_extract_all(text, '[^{SP}]+')))::BIGINT AS tokens, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
+def conversation_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.size(X.words("text"))).alias("tokens"), F.max("turn").alias("last_turn"))
+
+
+# ---- rewriting of strings
+
+for _table in ("pre", "main", "corrections", "post"):
+    per_word(f"map_fold_{_table}", lambda t=_table: X.fold("word", t), sql_fold(_table))
+_FOLDS = {
+    "nukta_composed": (X.compose_nukta, sql_each("b", X.NUKTA)),
+    "nukta_decomposed": (X.decompose_nukta, sql_each("b", [(b, a) for a, b in X.NUKTA])),
+    "vowels_composed": (X.compose_vowels, sql_each("b", X.TWO_PART)),
+    "canonical_form": (X.canonical, sql_each("b", [*X.NUKTA, *X.TWO_PART])),
+}
+for _name, (_f, _sql) in _FOLDS.items():
+    per_word(_name, lambda f=_f: f("b"), _sql, True)
+_MARKS = [chr(c) for c in (*range(0x9BE, 0x9C4), 0x9C7, 0x9C8, 0x9CB, 0x9CC, 0x9CD, 0x9D7)]
+
+
+def _collapsed(expression: str) -> str:
+    for m in _MARKS:
+        expression = f"regexp_replace({expression}, '{m}{m}+', '{m}', 'g')"
+    return expression
+
+
+per_word("doubles_collapsed", lambda: X.collapse_doubles("b"), _collapsed("b"), True)
+per_word("vowels_reunited", lambda: X.reunite(F.concat(F.col("b"), F.lit(" "), F.substring("b", 2, 1000))), f"regexp_replace(b || ' ' || substring(b, 2, 1000), '([{re2(X.BASE)}]) ([{re2(X.KAR)}{re2(X.HALANT)}])', '\\1\\2 ', 'g')", True)
+per_word("trimmed_to_bengali", lambda: X.trim_to_bengali("b"), f"regexp_replace(b, '^[^{BN}]+|[^{BN}]+$', '', 'g')", True)
+per_word("well_formed_flag", lambda: X.well_formed("b"), "NOT regexp_matches(b, '" + re2("|".join(X._FAULTS)) + "')", True)
+per_word("opens_like_bengali", lambda: X.opens_like_bengali("b"), f"regexp_extract(b, '[{BN}]') NOT IN ({', '.join(quoted(chr(c)) for c in (0x99E, 0x982, 0x983, 0x981, 0x9CE, 0x9DC, 0x9DD, 0x9DF))})", True)
+per_word("testable_words", lambda: X.testable("b"), f"regexp_matches(b, '[{BN}]') AND NOT regexp_matches(b, '[{re2(X.significant_class())}]')", True)
+_STEMS = [X._py_decompose(s) for s in tables.words("stem") if len(s) >= 3]
+_HITS = f"(SELECT count(*) FROM (SELECT unnest([{', '.join(map(quoted, _STEMS))}]) AS s) WHERE contains({sql_each('b', [(b, a) for a, b in X.NUKTA])}, s))"
+per_word("stem_hits", lambda: X.stem_hits("b").cast("bigint"), _HITS, True)
+per_word("reads_bengali_strict", lambda: X.reads_as_bengali_strict("b"), f"{_HITS} >= 2 AND {_HITS} * 60 >= {sql_count('b', BN)}", True)
+per_word("roman_markers", lambda: X.roman_marker("word"), r"regexp_matches(word, '^\(*[ivxlcdmIVXLCDM]{1,4}[).:]$')")
+per_word("sub_superscript_words", lambda: X.sub_or_superscript("word"), f"regexp_matches(word, '[{re2(X.SCRIPTS)}]')")
+per_word("lone_conjunct", lambda: X.lone_conjunct("word"), "word IN ('¹', '²', '³')")
+per_word("exotic_share", lambda: F.round(X.count_of("word", X.BIJOY) / F.length("word"), 6), f"round({sql_count('word', BJ)} / length(word), 6)")
+per_word("distinct_exotic_flag", lambda: X.two_distinct("word", X.BIJOY), f"len(list_distinct(regexp_extract_all(word, '[{BJ}]'))) >= 2")
+per_word("english_bare", lambda: X.english_bare("word"), "CASE WHEN regexp_matches(word, '^[\\x00-\\x7F]*$') THEN regexp_replace(lower(word), '^[^a-z]+|[^a-z]+$', '', 'g') ELSE '' END")
+per_word("clean_english", lambda: X.clean_english("word"), "CASE WHEN regexp_matches(lower(word), '^[a-z]{2,}$') THEN lower(word) END")
+per_word("clean_bengali", lambda: X.clean_bengali("b"), f"CASE WHEN regexp_matches({sql_each('b', [*X.NUKTA, *X.TWO_PART])}, '^[{BN}]{{2,}}$') THEN {sql_each('b', [*X.NUKTA, *X.TWO_PART])} END", True)
+per_word("screen_safe", lambda: X.screen_safe(F.concat(F.col("word"), F.lit("\t\n\x7f"))), "word || '␉␊␡'")
+
+
+# ---- lines
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.explode(X.lines("text")).alias("line")).distinct()
+
+
+_LINES = r"WITH lines AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\t\n]|[^\t\n]+')) AS line FROM documents)"
+_MARKERS = ", ".join(map(quoted, sorted(set(tables.words("marker")))))
+_IS_ENGLISH = f"len(list_filter(regexp_split_to_array(line, '[^A-Za-z]+'), lambda w: length(w) >= 2 AND lower(w) IN ({_MARKERS}))) >= 2"
+_SEEN = f"regexp_replace(regexp_replace(line, '[{SP}]', '', 'g'), '[^{SG}]', '', 'g')"
+_TYPO = f"({_SEEN} <> '' AND regexp_replace({_SEEN}, '[{re2(X.TYPOGRAPHY)}]', '', 'g') = '')"
+
+
+@query("english_marker_lines", f"{_LINES} SELECT line, {_IS_ENGLISH} AS english FROM lines")
+def english_marker_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("line", X.reads_as_english("line").alias("english"))
+
+
+@query("typography_only_lines", f"{_LINES} SELECT line, {_TYPO} AS typography FROM lines")
+def typography_only_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("line", X.typography_only("line").alias("typography"))
+
+
+_DENSE = f"length({_SEEN}) * 10 >= length(regexp_replace(line, '[{SP}0-9]', '', 'g')) AND len(list_distinct(regexp_extract_all({_SEEN}, '[{SG}]'))) >= 2 AND NOT {_IS_ENGLISH} AND NOT {_TYPO}"
+
+
+@query("detect_dense_lines", f"{_LINES} SELECT line, {_DENSE} AS dense FROM lines")
+def detect_dense_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("line", classify.detect("line")["dense"].alias("dense"))
+
+
+@query("detect_lines")
+def detect_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.detect_lines(_lines(spark, sf_dir), "line")
+
+
+@query("exotic_ratio_by_doc", f"SELECT doc_id, round({sql_count('text', SG)} / greatest(1, length(regexp_replace(text, '[{SP}0-9]', '', 'g'))), 6) AS share FROM documents")
+def exotic_ratio_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    considered = F.length(F.regexp_replace("text", f"[{X.SPACE}0-9]", ""))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(X.count_of("text", X.SIGNAL) / F.greatest(F.lit(1), considered), 6).alias("share"))
+
+
+@query("html_is_not_legacy", f"SELECT page_id, regexp_matches(html, '[{BN}]') AS bengali, {sql_count('html', BJ)} AS exotic FROM pages")
+def html_is_not_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.col("html").rlike(f"[{X.BENGALI}]").alias("bengali"), X.count_of("html", X.BIJOY).cast("bigint").alias("exotic"))
+
+
+# ---- lexicon
+
+_GUARD = f"(SELECT unnest([{', '.join(map(quoted, sorted({*tables.words('guard'), *tables.words('marker')})))}]) AS entry)"
+_BARE = "CASE WHEN regexp_matches(word, '^[\\x00-\\x7F]*$') THEN regexp_replace(lower(word), '^[^a-z]+|[^a-z]+$', '', 'g') ELSE '' END"
+
+
+def _english(spark: SparkSession) -> DataFrame:
+    return F.broadcast(classify.lexicon(spark).where("lang = 'en'").select(F.col("word").alias("entry")))
+
+
+@query("dictionary_semi_join", f"{WORDS} SELECT word FROM words WHERE {_BARE} IN {_GUARD}")
+def dictionary_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_words(spark, sf_dir).join(_english(spark), X.english_bare("word") == F.col("entry"), "left_semi")
+
+
+@query("dictionary_anti_join", f"{WORDS} SELECT count(*) AS unlisted FROM words WHERE {_BARE} NOT IN {_GUARD}")
+def dictionary_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_words(spark, sf_dir).join(_english(spark), X.english_bare("word") == F.col("entry"), "left_anti").agg(F.count("*").alias("unlisted"))
+
+
+@query("reverse_table", f"SELECT value, glyph FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY ord) AS rn FROM (VALUES {', '.join(f'({k}, {quoted(a)}, {quoted(b)})' for k, (a, b) in enumerate(tables.rules('main')))}) AS t(ord, glyph, value)) WHERE rn = 1 AND NOT regexp_matches(value, '^[\\x00-\\x7F]*$')")
+def reverse_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(tables.rules("main"))], "ord int, glyph string, value string")
+    first = rules.groupBy("value").agg(F.min_by("glyph", "ord").alias("glyph"))
+    return first.where(~F.col("value").rlike(r"^[\x00-\x7F]*$"))
+
+
+# ---- verdicts
+
+_ALONE = f"CASE WHEN {sql_count('word', BJ)} * 10 >= length(word) AND len(list_distinct(regexp_extract_all(word, '[{BJ}]'))) >= 2 THEN 'legacy' WHEN regexp_matches(word, '[{BJ}]') THEN 'uncertain' ELSE 'not_legacy' END"
+
+
+@query(
+    "context_window_6",
+    f"""WITH words AS (SELECT doc_id, word, pos FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[^{SP}]+') AS ws FROM documents))),
+    alone AS (SELECT doc_id, pos, {_ALONE} AS alone FROM words),
+    judged AS (SELECT doc_id, alone = 'legacy' OR (alone = 'uncertain' AND max(CASE WHEN alone = 'legacy' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) = 1) AS legacy FROM alone)
+    SELECT doc_id, count_if(legacy)::BIGINT AS legacy, count(*) AS words FROM judged GROUP BY doc_id""",
+)
+def context_window_6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context rule over a verdict by density, which SQL can state too."""
+    dense = (X.count_of("word", X.BIJOY) * 10 >= F.length("word")) & X.two_distinct("word", X.BIJOY)
+    rows = all_words(spark, sf_dir).withColumn("alone", F.when(dense, "legacy").when(F.col("word").rlike(f"[{X.BIJOY}]"), "uncertain").otherwise("not_legacy"))
+    return classify.with_context(rows, ["doc_id"], "at").groupBy("doc_id").agg(F.count_if("legacy").alias("legacy"), F.count("*").alias("words"))
+
+
+@query("word_verdicts")
+def word_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.word_table(distinct_words(spark, sf_dir), classify.lexicon(spark))
+
+
+@query("diagnose_counts")
+def diagnose_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_verdicts(spark, sf_dir).groupBy("rule", "alone").agg(F.count("*").alias("n"))
+
+
+@query("convert_documents")
+def convert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.convert_documents(table(spark, sf_dir, "documents"), classify.lexicon(spark))
+
+
+@query("convert_forced")
+def convert_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_words(spark, sf_dir).withColumn("converted", kernel.column(kernel.convert)("word"))
+
+
+@query("repair_unicode")
+def repair_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bengali(spark, sf_dir).select("word", kernel.column(kernel.repair_unicode)("b").alias("repaired"))
+
+
+@query("round_trip")
+def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.round_trip(bengali(spark, sf_dir).select(F.col("b").alias("word")))
+
+
+@query("topk_round_trip_patterns")
+def topk_round_trip_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.top_patterns(round_trip(spark, sf_dir).where("not canonical"))
+
+
+# ---- labels and evaluation; a document's source stands for its font
+
+_FONTS = ("SutonnyMJ", "Arial", "Bijoy Classic", "SutonnyOMJ", "+mn-lt", "Times New Roman", "SutonnyEMJ")
+_FONT_SQL = f"CASE WHEN doc_id % 9 < {len(_FONTS)} THEN [{', '.join(map(quoted, _FONTS))}][1 + doc_id % 9] END"
+
+
+def sql_legacy(font: str) -> str:
+    fonts = f"[{', '.join(map(quoted, tables.words('font')))}]"
+    never = " OR ".join(f"contains(lower({font}), {quoted(f)})" for f in tables.words("unicode_font"))
+    return f"(NOT ({never} OR starts_with({font}, '+')) AND len(list_filter({fonts}, lambda f: contains(lower({font}), f))) > 0)"
+
+
+def _font_of(doc_id: str = "doc_id") -> Column:
+    return F.get(F.array(*map(F.lit, _FONTS)), (F.col(doc_id) % 9).cast("int"))
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = all_words(spark, sf_dir).withColumn("font", _font_of())
+    path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".docx"))
+    return tokens.select("doc_id", X.split_parity(path).alias("split"), X.token_label("word", "font").alias("label"))
+
+
+_SPLIT = "CASE WHEN (1 + len(list_filter(regexp_extract_all(hex(encode('docs/' || doc_id || '.docx')), '..'), lambda d: regexp_matches(d, '[13579BDF]$')))) % 2 = 0 THEN 'tune' ELSE 'test' END"
+_LABEL = f"""CASE WHEN regexp_matches(word, '[{BN}]') THEN 'unicode' WHEN font IS NULL AND regexp_matches(word, '[A-Za-z]') THEN 'unknown_font'
+    WHEN font IS NOT NULL AND {sql_legacy('font')} THEN CASE WHEN NOT (contains(lower(font), 'sutonnymj') OR contains(lower(font), 'sutonnyemj')) THEN 'other_legacy' WHEN regexp_matches(word, '[{BJ}]') THEN 'legacy' ELSE 'legacy_ascii' END
+    WHEN regexp_matches(regexp_replace(word, '^[^0-9A-Za-z]+|[^0-9A-Za-z]+$', '', 'g'), '[{BJ}]') THEN 'font_disputed' WHEN regexp_matches(word, '[A-Za-z]') THEN 'english' ELSE 'inert' END"""
+_LABELLED = f"WITH tokens AS (SELECT doc_id, {_FONT_SQL} AS font, {_SPLIT} AS split, unnest(regexp_extract_all(text, '[^{SP}]+')) AS word FROM documents), labelled AS (SELECT doc_id, split, {_LABEL} AS label FROM tokens)"
+
+
+@query("split_parity", f"SELECT doc_id, {_SPLIT} AS split FROM documents")
+def split_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".docx"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.split_parity(path).alias("split"))
+
+
+@query("label_pivot", f"{_LABELLED} SELECT label, count_if(split = 'tune')::BIGINT AS tune, count_if(split = 'test')::BIGINT AS test, count(*) AS total FROM labelled GROUP BY label")
+def label_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.label_counts(labelled(spark, sf_dir))
+
+
+@query("label_rollup", f"{_LABELLED} SELECT split, label, count(*) AS n FROM labelled GROUP BY ROLLUP (split, label)")
+def label_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled(spark, sf_dir).rollup("split", "label").agg(F.count("*").alias("n"))
+
+
+@query("docs_with_legacy", f"{_LABELLED} SELECT split, count(DISTINCT doc_id) AS docs FROM labelled WHERE label IN ('legacy', 'legacy_ascii') GROUP BY split")
+def docs_with_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled(spark, sf_dir).where("label in ('legacy', 'legacy_ascii')").groupBy("split").agg(F.countDistinct("doc_id").alias("docs"))
+
+
+@query("font_match", f"SELECT doc_id, {_FONT_SQL} AS font, {sql_legacy(f'({_FONT_SQL})')} AS legacy, lower({_FONT_SQL}) IN ({', '.join(map(quoted, tables.words('font')))}) AS exact FROM documents WHERE doc_id % 9 < {len(_FONTS)}")
+def font_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", _font_of().alias("font")).where("font is not null").select("*", X.is_legacy_font("font").alias("legacy"), X.is_exactly_legacy_font("font").alias("exact"))
+
+
+def _wilson_sql(hits: str, n: str, side: str) -> str:
+    z = 1.959963984540054
+    p = f"({hits}::DOUBLE / {n})"
+    core = f"({p} + {z * z} / (2.0 * {n}) {'-' if side == 'low' else '+'} {z} * sqrt({p} * (1 - {p}) / {n} + {z * z} / (4.0 * {n} * {n}))) / (1 + {z * z} / {n})"
+    return f"round({'greatest(0.0, ' if side == 'low' else 'least(1.0, '}{core}), 6)"
+
+
+@query("wilson_interval", f"SELECT lang, n, hits, {_wilson_sql('hits', 'n', 'low')} AS low, {_wilson_sql('hits', 'n', 'high')} AS high FROM (SELECT lang, count(*) AS n, count_if(regexp_matches(text, '[{BJ}]'))::BIGINT AS hits FROM documents GROUP BY lang)")
+def wilson_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike(f"[{X.BIJOY}]")).alias("hits"))
+    low, high = X.wilson("hits", "n")
+    return rows.select("lang", "n", "hits", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+@query(
+    "confusion_f1",
+    f"""WITH n AS (SELECT count_if(t AND g)::BIGINT AS tp, count_if(NOT t AND g)::BIGINT AS fp, count_if(t AND NOT g)::BIGINT AS fn, count_if(NOT t AND NOT g)::BIGINT AS tn FROM (SELECT toxic = 1 AS t, regexp_matches(text, '[{BJ}]') AS g FROM documents JOIN labels USING (doc_id)))
+    SELECT tp, fp, fn, tn, round(tp / (tp + fn), 6) AS recall, round(tp / (tp + fp), 6) AS precision, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(fp / (fp + tn), 6) AS fpr FROM n""",
+)
+def confusion_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(f"[{X.BIJOY}]").alias("guess")).join(table(spark, sf_dir, "labels"), "doc_id").withColumn("truth", F.col("toxic") == 1)
+    return R.confusion(rows, "truth", "guess").select("tp", "fp", "fn", "tn", *(F.round(c, 6).alias(c) for c in ("recall", "precision", "f1", "fpr")))
+
+
+@query("levenshtein_pairs", "SELECT a.item_id AS a, b.item_id AS b, levenshtein(left(regexp_replace(a.text, '[^ -~]', '', 'g'), 40), left(regexp_replace(b.text, '[^ -~]', '', 'g'), 40)) AS distance FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id")
+def levenshtein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 40).alias("t"))
+    a, b = items.select(F.col("item_id").alias("a"), F.col("t").alias("ta")), items.select(F.col("item_id").alias("b"), F.col("t").alias("tb"))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.levenshtein("ta", "tb").cast("bigint").alias("distance"))
+
+
+# ---- reports; the rows of documents and labels stand for files
+
+_OLD = "SELECT md5(doc_id::VARCHAR) AS in_hash, 'ok' AS status, md5(lang) AS out_hash, n_chars AS converted, 0::BIGINT AS untouched, 1::BIGINT AS fonts FROM documents WHERE doc_id % 7 <> 0"
+_NEW = "SELECT md5(doc_id::VARCHAR) AS in_hash, CASE WHEN doc_id % 11 = 0 THEN 'FAILED' ELSE 'ok' END AS status, md5(lang) AS out_hash, n_chars AS converted, 0::BIGINT AS untouched, 1::BIGINT AS fonts FROM documents WHERE doc_id % 5 <> 0"
+
+
+def _report(spark: SparkSession, sf_dir: str, skip: int, failed: bool) -> DataFrame:
+    status = F.when((F.col("doc_id") % 11 == 0) & F.lit(failed), "FAILED").otherwise("ok")
+    docs = table(spark, sf_dir, "documents").where(F.col("doc_id") % skip != 0)
+    return docs.select(F.md5(F.col("doc_id").cast("string")).alias("in_hash"), "lang", status.alias("status"), F.md5("lang").alias("out_hash"), F.col("n_chars").alias("converted"), F.lit(0).cast("bigint").alias("untouched"), F.lit(1).cast("bigint").alias("fonts"), "doc_id")
+
+
+@query(
+    "report_full_outer",
+    f"""SELECT change, count(*) AS n FROM (SELECT CASE WHEN b.in_hash IS NULL THEN 'vanished' WHEN a.in_hash IS NULL THEN 'new' WHEN (a.status, a.out_hash, a.converted, a.untouched, a.fonts) IS NOT DISTINCT FROM (b.status, b.out_hash, b.converted, b.untouched, b.fonts) THEN 'identical' ELSE 'differing' END AS change
+    FROM ({_OLD}) a FULL OUTER JOIN ({_NEW}) b ON a.in_hash = b.in_hash) GROUP BY change""",
+)
+def report_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.compare_reports(_report(spark, sf_dir, 7, False), _report(spark, sf_dir, 5, True)).groupBy("change").agg(F.count("*").alias("n"))
+
+
+@query("resume_anti_join", f"SELECT count(*) AS left_to_do FROM ({_OLD}) a WHERE in_hash NOT IN (SELECT in_hash FROM ({_NEW}))")
+def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.not_yet_verified(_report(spark, sf_dir, 7, False), _report(spark, sf_dir, 5, True)).agg(F.count("*").alias("left_to_do"))
+
+
+@query("last_row_per_hash", "SELECT in_hash, max(doc_id) AS doc_id FROM (SELECT md5(lang || source) AS in_hash, doc_id FROM documents) GROUP BY in_hash")
+def last_row_per_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.md5(F.concat("lang", "source")).alias("in_hash"), "doc_id")
+    return R.last_by_hash(rows, "doc_id")
+
+
+@query("tally_kind_status", f"SELECT out_hash AS kind, status, count(*) AS n, sum(converted)::BIGINT AS converted FROM ({_NEW}) GROUP BY ALL")
+def tally_kind_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir, 5, True).groupBy(F.col("out_hash").alias("kind"), "status").agg(F.count("*").alias("n"), F.sum("converted").alias("converted"))
+
+
+@query("dedup_by_hash", "SELECT md5(text) AS hash, min(source || '/' || lpad(doc_id::VARCHAR, 9, '0')) AS path FROM documents GROUP BY 1")
+def dedup_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.col("source"), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"))
+    return R.first_by_hash(table(spark, sf_dir, "documents").select(F.md5("text").alias("hash"), path.alias("path")))
+
+
+_PATHS = "SELECT '/in/' || source || '/' || (doc_id // 3) || CASE doc_id % 3 WHEN 0 THEN '.doc' WHEN 1 THEN '.DOCX' ELSE '.pptx' END AS path FROM documents"
+_EXT = r"lower(regexp_extract(path, '\.([^./\\]+)$', 1))"
+_DEST = rf"regexp_replace(path, '\.[^./\\]+$', '') || '.unicode.' || {_EXT} || CASE WHEN {_EXT} IN ('doc', 'xls', 'ppt') THEN 'x' ELSE '' END"
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.when(F.col("doc_id") % 3 == 0, ".doc").when(F.col("doc_id") % 3 == 1, ".DOCX").otherwise(".pptx")
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("/in/"), F.col("source"), F.lit("/"), F.expr("doc_id div 3").cast("string"), e).alias("path"))
+
+
+@query("duplicate_destinations", f"SELECT {_DEST} AS destination, count(*) AS inputs FROM ({_PATHS}) GROUP BY 1 HAVING count(*) > 1")
+def duplicate_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.duplicate_destinations(_paths(spark, sf_dir))
+
+
+@query("kinds_by_extension", f"SELECT CASE WHEN {_EXT} IN ('docx', 'xlsx', 'pptx') THEN 'office' WHEN {_EXT} IN ('doc', 'xls', 'ppt') THEN 'legacy' END AS kind, {_EXT} AS extension, count(*) AS n FROM ({_PATHS}) GROUP BY ALL")
+def kinds_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paths(spark, sf_dir).groupBy(X.kind_of("path").alias("kind"), X.extension("path").alias("extension")).agg(F.count("*").alias("n"))
+
+
+@query("median_min_max", "SELECT lang, median(n_chars) AS median, min(n_chars) AS least, max(n_chars) AS most FROM documents GROUP BY lang")
+def median_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.median("n_chars").alias("median"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
+
+
+@query("size_tier", "SELECT CASE WHEN n_chars * 1000 < 1000000 THEN 'text' WHEN n_chars * 1000 < 50000000 THEN 'mid' ELSE 'media' END AS tier, count(*) AS n FROM documents GROUP BY 1")
+def size_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy(R.size_tier(F.col("n_chars") * 1000).alias("tier")).agg(F.count("*").alias("n"))
+
+
+@query("topk_words", f"SELECT word, count(*) AS n FROM ({ALL_WORDS}) GROUP BY word ORDER BY n DESC, word LIMIT 12")
+def topk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_words(spark, sf_dir).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(12)
+
+
+@query("hash_sample", "SELECT doc_id FROM documents ORDER BY md5('7/' || doc_id), doc_id LIMIT 50")
+def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.hash_sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 50, 7)
+
+
+@query("date_stamp", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
+def date_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("thousands", "SELECT o_orderkey, regexp_replace(reverse(regexp_replace(reverse((o_orderkey * 1237)::VARCHAR), '([0-9]{3})', '\\1,', 'g')), '^,', '') AS shown FROM orders")
+def thousands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.thousands(F.col("o_orderkey") * 1237).alias("shown"))
+
+
+# ---- joins of intervals: words of a document against runs of 50 characters
+
+_TOKENS = f"""spots AS (SELECT doc_id, unnest(ss) AS segment, generate_subscripts(ss, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[{SP}]+|[^{SP}]+') AS ss FROM documents)),
+    placed AS (SELECT doc_id, segment, pos, coalesce(sum(length(segment)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM spots),
+    tokens AS (SELECT doc_id, segment, start, start + length(segment) AS stop FROM placed),
+    runs AS (SELECT doc_id, r * 50 AS start, r * 50 + 50 AS stop, CASE (doc_id + r) % 4 WHEN 0 THEN 'Arial' WHEN 1 THEN 'SutonnyMJ' WHEN 2 THEN NULL ELSE 'Calibri' END AS font FROM (SELECT doc_id, unnest(range((length(text) + 49) // 50)) AS r FROM documents))"""
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = classify.segments(table(spark, sf_dir, "documents"))
+    before = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("segment")).over(before), F.lit(0))
+    return placed.withColumn("start", start).withColumn("stop", F.col("start") + F.length("segment"))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(length(text) - 1) div 50").cast("bigint"))).alias("r"))
+    k = (F.col("doc_id") + F.col("r")) % 4
+    return runs.select("doc_id", (F.col("r") * 50).alias("start"), (F.col("r") * 50 + 50).alias("stop"), F.when(k == 0, "Arial").when(k == 1, "SutonnyMJ").when(k == 3, "Calibri").alias("font"))
+
+
+@query(
+    "font_interval_join",
+    f"""WITH {_TOKENS}, pairs AS (SELECT t.doc_id, t.start, r.start AS pos, r.font FROM tokens t JOIN runs r ON t.doc_id = r.doc_id AND t.start < r.stop AND t.stop > r.start),
+    fonts AS (SELECT doc_id, start, coalesce(min_by(font, pos) FILTER (font = 'SutonnyMJ'), min_by(font, pos) FILTER (font IS NOT NULL)) AS font FROM pairs GROUP BY ALL)
+    SELECT font, count(*) AS n FROM fonts GROUP BY font""",
+)
+def font_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.font_of_tokens(_tokens(spark, sf_dir).select("doc_id", "start", "stop"), _runs(spark, sf_dir), ["doc_id"]).groupBy("font").agg(F.count("*").alias("n"))
 
 
-QUERIES["tokens_by_lang"] = tokens_by_lang
-ORACLES["tokens_by_lang"] = r"""
-    SELECT lang, count(*) AS tokens, count(DISTINCT word) AS distinct_words
-    FROM (SELECT lang, unnest(regexp_extract_all(text, '[^\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+')) AS word FROM documents)
-    GROUP BY lang
-"""
+@query(
+    "span_join",
+    f"""WITH {_TOKENS}, pieces AS (SELECT doc_id, start, stop, segment LIKE 'th%' AS changed, CASE WHEN segment LIKE 'th%' THEN upper(segment) || '!' ELSE segment END AS text FROM tokens),
+    cut AS (SELECT r.doc_id, r.start, p.start AS pos, CASE WHEN NOT p.changed THEN substring(p.text, greatest(r.start, p.start) - p.start + 1, least(r.stop, p.stop) - greatest(r.start, p.start)) WHEN p.start >= r.start THEN p.text ELSE '' END AS t FROM runs r JOIN pieces p ON r.doc_id = p.doc_id AND r.start < p.stop AND r.stop > p.start)
+    SELECT doc_id, start, string_agg(t, '' ORDER BY pos) AS text FROM cut GROUP BY doc_id, start""",
+)
+def span_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.col("segment").startswith("th")
+    pieces = _tokens(spark, sf_dir).select("doc_id", "start", "stop", changed.alias("changed"), F.when(changed, F.concat(F.upper("segment"), F.lit("!"))).otherwise(F.col("segment")).alias("text"))
+    return R.text_of_runs(pieces, _runs(spark, sf_dir).drop("font"), ["doc_id"]).select("doc_id", "start", F.col("out").alias("text"))
