@@ -276,6 +276,6 @@ def column(f: Callable[[str], str]) -> Callable[[Column | str], Column]:
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
         known = {v: f(v) for v in values.dropna().unique()}
-        return values.map(known)
+        return pd.Series([known.get(v) for v in values], dtype=object)
 
     return run

@@ -29,5 +29,5 @@ def once_by_hash(stream: DataFrame, event_time: str, delay: str = "1 day") -> Da
 
 def event_counts(events: DataFrame, width: str = "1 hour", delay: str = "2 hours") -> DataFrame:
     """Tallies by kind of event in tumbling windows, late rows within ``delay`` counted."""
-    windows = events.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type")
+    windows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type")
     return windows.agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
