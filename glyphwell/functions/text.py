@@ -209,11 +209,8 @@ def testable(word: C) -> Column:
 
 def is_legacy_font(name: C) -> Column:
     low = F.lower(_c(name))
-    fonts = F.array(*(F.lit(f) for f in tables.words("font")))
-    unicode_ = F.lit(False)
-    for f in tables.words("unicode_font"):
-        unicode_ = unicode_ | F.contains(low, F.lit(f))
-    return ~(unicode_ | low.startswith("+")) & F.exists(fonts, lambda f: F.contains(low, f))
+    unicode_ = low.rlike("|".join(tables.words("unicode_font"))) | low.startswith("+")
+    return ~unicode_ & low.rlike("|".join(tables.words("font")))
 
 
 def is_exactly_legacy_font(name: C) -> Column:

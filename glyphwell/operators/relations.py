@@ -64,9 +64,10 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], prefix: str
 
 def font_of_tokens(tokens: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
     """Each token with a font: any legacy font in its span, else the first named."""
-    pairs = overlap_join(tokens, runs.select(*keys, "start", "stop", "font"), keys, "run_")
-    legacy = F.when(X.is_legacy_font("run_font"), F.col("run_font"))
-    fonts = pairs.groupBy(*keys, "start").agg(F.coalesce(F.min_by(legacy, F.when(legacy.isNotNull(), F.col("run_start"))), F.min_by("run_font", F.when(F.col("run_font").isNotNull(), F.col("run_start")))).alias("font"))
+    # Fonts are judged once a run, not once a pair.
+    pairs = overlap_join(tokens, runs.where("font is not null").select(*keys, "start", "stop", "font", X.is_legacy_font("font").alias("legacy")), keys, "run_")
+    legacy = F.when(F.col("run_legacy"), F.col("run_font"))
+    fonts = pairs.groupBy(*keys, "start").agg(F.coalesce(F.min_by(legacy, F.when(legacy.isNotNull(), F.col("run_start"))), F.min_by("run_font", "run_start")).alias("font"))
     return tokens.join(fonts, [*keys, "start"], "left")
 
 
