@@ -247,7 +247,7 @@ def test_licenses(text, license):
 
 def test_license_rules(spark):
     assert len(licenses.RULES) >= 300 and len({r.name for r in licenses.RULES}) == len(licenses.RULES)
-    texts = list(LICENSES) + ["nothing here", "It is permitted to walk.", "licence to kill", "COPYRIGHT (C) 1999-2004 Someone"]
+    texts = list(LICENSES) + ["nothing here", "It is permitted to walk.", "licence to kill", "in the public\ndomain", "released into the public\u00a0domain", "COPYRIGHT (C) 1999-2004 Someone"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = collections.defaultdict(set)
     for r in licenses.detections(docs).collect():
