@@ -375,6 +375,14 @@ def levenshtein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.levenshtein("ta", "tb").cast("bigint").alias("distance"))
 
 
+@query("levenshtein_whole_texts")
+def levenshtein_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the whole texts in code points, as the reference counts; DuckDB's levenshtein counts bytes, so there is no SQL."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    a, b = items.select(F.col("item_id").alias("a"), F.col("text").alias("ta")), items.select(F.col("item_id").alias("b"), F.col("text").alias("tb"))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.levenshtein("ta", "tb").cast("bigint").alias("distance"))
+
+
 # ---- reports; the rows of documents and labels stand for files
 
 _OLD = "SELECT md5(doc_id::VARCHAR) AS in_hash, 'ok' AS status, md5(lang) AS out_hash, n_chars AS converted, 0::BIGINT AS untouched, 1::BIGINT AS fonts FROM documents WHERE doc_id % 7 <> 0"
