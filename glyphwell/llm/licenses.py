@@ -146,7 +146,8 @@ Proprietary | without | (?:no part of this|this) (?:work|publication|document|te
 Proprietary | unauthori | unauthori[sz]ed (?:copying|reproduction|distribution|use)(?: and (?:copying|reproduction|distribution|use))? (?:of this \w+,? )?is (?:strictly )?prohibited
 Proprietary | personal | for personal(?:,| and) non-?commercial use only
 Proprietary | license agreement | end[- ]user license agreement
-Copyright-notice | copyright | (?:copyright )?(?:\(c\)|©) ?(?:copyright )?\d{4}(?: ?[-–,] ?\d{4})*
+Copyright-notice | (c) | (?:copyright )?\(c\) ?(?:copyright )?\d{4}(?: ?[-–,] ?\d{4})*
+Copyright-notice | © | (?:copyright )?© ?(?:copyright )?\d{4}(?: ?[-–,] ?\d{4})*
 Copyright-notice | copyright | copyright ?(?:\(c\)|©)? ?\d{4}(?: ?[-–,] ?\d{4})*
 Unknown-license | licen | (?:licensed|released|distributed|published|available) under (?:the terms of )?(?:an? |the )?[\w.+-]+ licen[sc]e
 """
