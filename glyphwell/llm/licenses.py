@@ -152,9 +152,6 @@ Copyright-notice | copyright | copyright ?(?:\(c\)|©)? ?\d{4}(?: ?[-–,] ?\d{4
 Unknown-license | licen | (?:licensed|released|distributed|published|available) under (?:the terms of )?(?:an? |the )?[\w.+-]+ licen[sc]e
 """
 
-#: One of these, in lower case, is in every text that any rule can match.
-GATES = ("licen", "copyright", "©", "(c)", "permission", "permitted", "redistribution", "rights", "public domain", "proprietary", "prohibited", "apache", "gnu", "cc by", "cc-by", "cc0", "creative commons", "creativecommons", "commercial use", "under the ", "under wtfpl", "misrepresented", "endorse", "advertising materials", "spdx", "unlicense", "wtfpl", "affero", "mozilla", "eclipse", "boost", "zlib", "opensource.org", "opendatacommons", "cecill", "joinup.", "/epl-", "/oagpl", "people.freebsd")
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -217,6 +214,16 @@ def _rules() -> tuple[Rule, ...]:
 RULES: tuple[Rule, ...] = _rules()
 
 
+def _gates() -> tuple[str, ...]:
+    """A word of each rule's keyword, without those that hold another one."""
+    words = {"licen" if "licen" in r.keyword else max(r.keyword.split(" "), key=len) for r in RULES}
+    return tuple(sorted(w for w in words if not any(v in w for v in words - {w})))
+
+
+#: One of these, in lower case, is in every text that any rule can match, as keywords are.
+GATES = _gates()
+
+
 @lru_cache(maxsize=1)
 def _compiled() -> list[tuple[str, list[tuple[int, Rule, re.Pattern]]]]:
     """The rules by keyword, compiled; a space of a rule is any run of whitespace."""
@@ -253,7 +260,7 @@ _OUT = {"doc_id": pa.int64(), "license": pa.string(), "rule": pa.string(), "star
 def detections(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``license``, ``rule``, ``start``, ``stop`` of every accepted detection; a narrow step."""
 
-    gate = "|".join(re.escape(g).replace("\\ ", r"[\s\p{Z}]+") for g in GATES)
+    gate = "|".join(map(re.escape, GATES))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         # One automaton of all gates over the batch's bytes; the texts that pass become strings.

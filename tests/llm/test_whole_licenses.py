@@ -1,5 +1,9 @@
 """License notices that prefilters once lost."""
 
+import itertools
+import re._constants as sre
+import re._parser as parser
+
 import pytest
 
 from glyphwell.llm import licenses
@@ -18,3 +22,51 @@ def test_copyright_notices_without_the_word(spark, text):
     assert [licenses.RULES[n].license for *_, n in found] == ["Copyright-notice"]
     docs = spark.createDataFrame([(1, f"Before. {text}. After.")], "doc_id bigint, text string")
     assert [r.license for r in licenses.detections(docs).collect()] == ["Copyright-notice"]
+
+
+def least_matches(parsed):
+    """Texts of a parsed expression with the fewest repeats, one for each choice of alternatives."""
+    parts = []
+    for op, arg in parsed:
+        if op is sre.LITERAL:
+            parts.append([chr(arg)])
+        elif op is sre.IN:
+            parts.append(["1" if kind is sre.CATEGORY and what is sre.CATEGORY_DIGIT else " " if kind is sre.CATEGORY and what is sre.CATEGORY_SPACE else chr(what) if kind is sre.LITERAL else "x" for kind, what in arg])
+        elif op is sre.ANY:
+            parts.append(["x"])
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            parts.append([t * arg[0] for t in least_matches(arg[2])] if arg[0] else [""])
+        elif op is sre.SUBPATTERN:
+            parts.append(least_matches(arg[3]))
+        elif op is sre.BRANCH:
+            parts.append([t for some in arg[1] for t in least_matches(some)])
+        else:
+            assert op in (sre.ASSERT, sre.ASSERT_NOT), op
+    return list(dict.fromkeys("".join(x) for x in itertools.product(*parts)))
+
+
+def test_every_rule_passes_gate_and_keyword(spark):
+    texts = []
+    for keyword, rules in licenses._compiled():
+        for n, rule, pattern in rules:
+            some = [t for t in least_matches(parser.parse(pattern.pattern, pattern.flags)) if pattern.fullmatch(t)]
+            assert some, rule
+            for t in some:
+                assert keyword in t.lower(), (rule, t)
+                assert any(g in t.lower() for g in licenses.GATES), (rule, t)
+            texts.append(some[0])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id for r in licenses.detections(docs).select("doc_id").collect()} == set(range(len(licenses.RULES)))
+
+
+@pytest.mark.parametrize("text,license", {
+    "https://scripts.sil.org/ofl": "OFL-1.1",
+    "https://www.latex-project.org/lppl": "LPPL-1.3c",
+    "https://mariadb.com/bsl11": "BUSL-1.1",
+    "http://vimdoc.sourceforge.net/htmldoc/uganda": "Vim",
+    "released under Attribution-ShareAlike 3.0": "CC-BY-SA-3.0",
+    "published under Attribution 4.0": "CC-BY-4.0",
+}.items())
+def test_only_signal_of_a_document(spark, text, license):
+    docs = spark.createDataFrame([(1, f"Before. {text} after.")], "doc_id bigint, text string")
+    assert [r.license for r in licenses.detections(docs).collect()] == [license]
