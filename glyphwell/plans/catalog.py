@@ -344,6 +344,14 @@ def font_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", _font_of().alias("font")).where("font is not null").select("*", X.is_legacy_font("font").alias("legacy"), X.is_exactly_legacy_font("font").alias("exact"))
 
 
+@query("font_match_all", f"SELECT doc_id, font, CASE WHEN font IS NOT NULL THEN {sql_legacy('font')} END AS legacy, lower(font) IN ({', '.join(map(quoted, tables.words('font')))}) AS exact FROM (SELECT doc_id, {_FONT_SQL} AS font FROM documents)")
+def font_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; without a font, both verdicts are null."""
+    fonts = table(spark, sf_dir, "documents").select("doc_id", _font_of().alias("font"))
+    named = F.col("font").isNotNull()
+    return fonts.select("*", F.when(named, X.is_legacy_font("font")).alias("legacy"), F.when(named, X.is_exactly_legacy_font("font")).alias("exact"))
+
+
 def _wilson_sql(hits: str, n: str, side: str) -> str:
     z = 1.959963984540054
     p = f"({hits}::DOUBLE / {n})"
@@ -420,6 +428,45 @@ def tally_kind_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(spark, sf_dir, 5, True).groupBy(F.col("out_hash").alias("kind"), "status").agg(F.count("*").alias("n"), F.sum("converted").alias("converted"))
 
 
+# The same without filters on ids: documents are the files, labels the rows of a second report.
+
+_FILES = "SELECT md5(doc_id::VARCHAR) AS in_hash, 'ok' AS status, 1::BIGINT AS converted FROM documents"
+_CHECKED = "SELECT md5(doc_id::VARCHAR) AS in_hash, CASE WHEN toxic = 1 THEN 'FAILED' ELSE 'ok' END AS status, quality::BIGINT AS converted FROM labels"
+
+
+def _rows_of(rows: DataFrame, status: Column, converted: Column) -> DataFrame:
+    hashed = F.md5(F.col("doc_id").cast("string"))
+    return rows.select(hashed.alias("in_hash"), status.alias("status"), hashed.alias("out_hash"), converted.cast("bigint").alias("converted"), F.lit(0).cast("bigint").alias("untouched"), F.lit(1).cast("bigint").alias("fonts"))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows_of(table(spark, sf_dir, "documents"), F.lit("ok"), F.lit(1))
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rows_of(table(spark, sf_dir, "labels"), F.when(F.col("toxic") == 1, "FAILED").otherwise("ok"), F.col("quality"))
+
+
+@query(
+    "report_documents_labels",
+    f"""SELECT change, count(*) AS n FROM (SELECT CASE WHEN b.in_hash IS NULL THEN 'vanished' WHEN a.in_hash IS NULL THEN 'new' WHEN (a.status, a.converted) IS NOT DISTINCT FROM (b.status, b.converted) THEN 'identical' ELSE 'differing' END AS change
+    FROM ({_FILES}) a FULL OUTER JOIN ({_CHECKED}) b ON a.in_hash = b.in_hash) GROUP BY change""",
+)
+def report_documents_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.compare_reports(_files(spark, sf_dir), _checked(spark, sf_dir)).groupBy("change").agg(F.count("*").alias("n"))
+
+
+@query("resume_all_documents", f"SELECT count(*) AS left_to_do FROM ({_FILES}) a ANTI JOIN ({_CHECKED}) b ON a.in_hash = b.in_hash")
+def resume_all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.not_yet_verified(_files(spark, sf_dir), _checked(spark, sf_dir)).agg(F.count("*").alias("left_to_do"))
+
+
+@query("tally_all_documents", "SELECT md5(lang) AS kind, CASE WHEN doc_id % 11 = 0 THEN 'FAILED' ELSE 'ok' END AS status, count(*) AS n, sum(n_chars)::BIGINT AS converted FROM documents GROUP BY ALL")
+def tally_all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("doc_id") % 11 == 0, "FAILED").otherwise("ok")
+    return table(spark, sf_dir, "documents").groupBy(F.md5("lang").alias("kind"), status.alias("status")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("converted"))
+
+
 @query("dedup_by_hash", "SELECT md5(text) AS hash, min(source || '/' || lpad(doc_id::VARCHAR, 9, '0')) AS path FROM documents GROUP BY 1")
 def dedup_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.col("source"), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"))
