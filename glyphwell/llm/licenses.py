@@ -152,6 +152,11 @@ Copyright-notice | copyright | copyright ?(?:\(c\)|©)? ?\d{4}(?: ?[-–,] ?\d{4
 Unknown-license | licen | (?:licensed|released|distributed|published|available) under (?:the terms of )?(?:an? |the )?[\w.+-]+ licen[sc]e
 """
 
+_TAG = r"SPDX-License-Identifier: ?\(?"
+_IDENTIFIER = r"(?:\(\s*)*[\w+-]+(?:[.:][\w+-]+)*"
+#: A tag with its whole expression: identifiers, AND, OR, WITH and brackets.
+_EXPRESSION = re.compile(rf"SPDX-License-Identifier:\s*({_IDENTIFIER}(?:[\s)]*\s(?:AND|OR|WITH)\s+{_IDENTIFIER}|[\s)]*\)(?:AND|OR|WITH)\s+{_IDENTIFIER})*)", re.IGNORECASE)
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -193,7 +198,7 @@ def _rules() -> tuple[Rule, ...]:
         tag = re.escape(lic)
         if re.match(r"A?L?GPL|GFDL", lic):
             tag += "(?:-only|-or-later|\\+)?"
-        add("tag", lic, 10, "spdx-license-identifier", rf"SPDX-License-Identifier: ?\(?{tag}(?![\w-]|\.\w)")
+        add("tag", lic, 10, "spdx-license-identifier", rf"{_TAG}{tag}(?![\w-]|\.\w)")
         add("address", lic, 30, _keyword(address), rf"https?://{address}")
         for alternative in re.split(r"\|(?![^(]*\))", name):
             key = _keyword(alternative)
@@ -202,7 +207,7 @@ def _rules() -> tuple[Rule, ...]:
     for code, words in _CC.items():
         for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
             lic, v = f"CC-{code}-{version}", re.escape(version)
-            add("tag", lic, 10, "spdx-license-identifier", rf"SPDX-License-Identifier: ?\(?{re.escape(lic)}(?![\w-]|\.\w)")
+            add("tag", lic, 10, "spdx-license-identifier", rf"{_TAG}{re.escape(lic)}(?![\w-]|\.\w)")
             add("notice", lic, 20, version, rf"(?:(?:this|the) (?:work|text|document|article|content|page) is )?(?:licen[sc]ed|released|published|available) under (?:the |an? )?(?:CC[- ]{code}[- ]{v}|(?:Creative Commons )?{words} {v})(?:[- ]International| Unported| Generic)?(?: licen[sc]e)?")
             add("address", lic, 30, "creativecommons.org", rf"https?://(?:www\.)?creativecommons\.org/licenses/{code.lower()}/{v}")
             add("name", lic, 40, version, rf"(?<![\w-])(?:CC[- ]{code}[- ]{v}(?![\w.]*\w)|Creative Commons {words} {v})")
@@ -234,6 +239,22 @@ def _compiled() -> list[tuple[str, list[tuple[int, Rule, re.Pattern]]]]:
     return list(by.items())
 
 
+@lru_cache(maxsize=1)
+def _identifiers() -> list[tuple[int, Rule, re.Pattern]]:
+    """The tag rules with their identifiers alone."""
+    return [(n, rule, re.compile(rule.pattern.removeprefix(_TAG), re.IGNORECASE)) for n, rule in enumerate(RULES) if rule.pattern.startswith(_TAG)]
+
+
+def expressions(text: str) -> list[tuple[int, int, int, int]]:
+    """Priority, start, stop and rule number of every identifier in tags' expressions; a first one is also in its tag's match, which contains it."""
+    found = []
+    for tag in _EXPRESSION.finditer(text):
+        for word in re.finditer(r"[\w+-]+(?:[.:][\w+-]+)*", tag.group(1)):
+            at = tag.start(1) + word.start()
+            found += [(rule.priority, m.start(), m.end(), n) for n, rule, pattern in _identifiers() if (m := pattern.match(text, at))]
+    return found
+
+
 def resolve(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """The accepted ones of (priority, start, stop, rule number), by start."""
     kept: list[tuple[int, int, int, int]] = []
@@ -251,6 +272,8 @@ def scan(text: str) -> list[tuple[int, int, int]]:
         if keyword in low:
             for n, rule, pattern in rules:
                 found += [(rule.priority, m.start(), m.end(), n) for m in pattern.finditer(text)]
+    if "spdx-license-identifier" in low:
+        found += expressions(text)
     return [(start, stop, n) for _, start, stop, n in resolve(found)]
 
 

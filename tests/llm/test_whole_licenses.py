@@ -70,3 +70,17 @@ def test_every_rule_passes_gate_and_keyword(spark):
 def test_only_signal_of_a_document(spark, text, license):
     docs = spark.createDataFrame([(1, f"Before. {text} after.")], "doc_id bigint, text string")
     assert [r.license for r in licenses.detections(docs).collect()] == [license]
+
+
+@pytest.mark.parametrize("expression,names", {
+    "MIT": ["MIT"],
+    "MIT OR Apache-2.0": ["MIT", "Apache-2.0"],
+    "(GPL-2.0-only AND BSD-3-Clause).": ["GPL-2.0", "BSD-3-Clause"],
+    "((MIT OR ISC) AND (Zlib OR CC-BY-4.0)) and more": ["MIT", "ISC", "Zlib", "CC-BY-4.0"],
+    "GPL-2.0-or-later WITH Classpath-exception-2.0 OR MIT-0": ["GPL-2.0", "MIT-0"],
+    "LicenseRef-Acme OR MIT": ["MIT"],
+    "MIT, or ISC": ["MIT"],
+    "MIT ORISC": ["MIT"],
+}.items())
+def test_every_identifier_of_an_expression(expression, names):
+    assert [licenses.RULES[n].license for *_, n in licenses.scan(f"// SPDX-License-Identifier: {expression}\ncode")] == names
