@@ -140,7 +140,7 @@ def _collapsed(expression: str) -> str:
 
 
 per_word("doubles_collapsed", lambda: X.collapse_doubles("b"), _collapsed("b"), True)
-per_word("vowels_reunited", lambda: X.reunite(F.concat(F.col("b"), F.lit(" "), F.substring("b", 2, 1000))), f"regexp_replace(b || ' ' || substring(b, 2, 1000), '([{re2(X.BASE)}]) ([{re2(X.KAR)}{re2(X.HALANT)}])', '\\1\\2 ', 'g')", True)
+per_word("vowels_reunited", lambda: X.reunite(F.concat(F.col("b"), F.lit(" "), F.expr("substring(b, 2)"))), f"regexp_replace(b || ' ' || substring(b, 2, 1000), '([{re2(X.BASE)}]) ([{re2(X.KAR)}{re2(X.HALANT)}])', '\\1\\2 ', 'g')", True)
 per_word("trimmed_to_bengali", lambda: X.trim_to_bengali("b"), f"regexp_replace(b, '^[^{BN}]+|[^{BN}]+$', '', 'g')", True)
 per_word("well_formed_flag", lambda: X.well_formed("b"), "NOT regexp_matches(b, '" + re2("|".join(X._FAULTS)) + "')", True)
 per_word("opens_like_bengali", lambda: X.opens_like_bengali("b"), f"regexp_extract(b, '[{BN}]') NOT IN ({', '.join(quoted(chr(c)) for c in (0x99E, 0x982, 0x983, 0x981, 0x9CE, 0x9DC, 0x9DD, 0x9DF))})", True)
