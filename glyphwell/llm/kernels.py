@@ -20,8 +20,7 @@ SLICE_BYTES = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
-_RADIX = 0x100000001B3  # odd, so that its powers are invertible modulo 2**64
-_RADIX_INVERSE = pow(_RADIX, -1, 1 << 64)
+_RADIX = (0x100000001B3, 0xD6E8FEB86659FD93)  # odd, so that their powers are invertible modulo 2**64
 
 #: ASCII letters in lower case, digits, and every byte of a multi-byte character
 #: make words; all other bytes separate them.
@@ -40,6 +39,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: What a byte counts in either polynomial.
+_VALUES = (np.arange(1, 257, dtype=np.uint64), mix64(np.arange(1, 257, dtype=np.uint64) * _MIX2))
+
+
 def string_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offset of each row, with the end last."""
     if pa.types.is_large_string(column.type):
@@ -81,17 +84,18 @@ def word_spans(raw: np.ndarray, starts: np.ndarray, member: np.ndarray = IS_WORD
     return first, last, np.searchsorted(starts, first, side="right") - 1
 
 
-def span_hasher(raw: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+def span_hasher(raw: np.ndarray, which: int = 0) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """A function of (first, last): 64-bit hashes of the spans raw[first:last], from prefix sums of a polynomial.
 
     Equal spans have equal hashes wherever they stand; the powers that a span's
-    position brings in are divided out again.
+    position brings in are divided out again. ``which`` picks one of two
+    independent polynomials, which together make 128 bits.
     """
     n = len(raw)
-    powers, inverse = _powers(n + 1)
+    powers, inverse = _powers(n + 1, which)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
+    np.cumsum(_VALUES[which][raw] * powers[:n], out=sums[1:])
 
     def hashes(first: np.ndarray, last: np.ndarray) -> np.ndarray:
         return mix64((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64) * _MULT)
@@ -104,19 +108,19 @@ def span_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndar
     return span_hasher(raw)(first, last) if len(first) else np.zeros(0, np.uint64)
 
 
-_tables: dict[str, np.ndarray] = {}
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n > len(_tables.get("p", ())):
-        size = max(n, SLICE_BYTES + 1)
-        p, q = np.full(size, _RADIX, np.uint64), np.full(size, _RADIX_INVERSE, np.uint64)
-        p[0] = q[0] = 1
-        both = np.cumprod(p), np.cumprod(q)
-        if size > 8 * SLICE_BYTES:  # an exceptionally long row: not worth keeping
-            return both
-        _tables["p"], _tables["q"] = both
-    return _tables["p"], _tables["q"]
+def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    if which in _tables and n <= len(_tables[which][0]):
+        return _tables[which]
+    size = max(n, SLICE_BYTES + 1)
+    p, q = np.full(size, _RADIX[which], np.uint64), np.full(size, pow(_RADIX[which], -1, 1 << 64), np.uint64)
+    p[0] = q[0] = 1
+    both = np.cumprod(p), np.cumprod(q)
+    if size <= 8 * SLICE_BYTES:  # an exceptionally long row is not worth keeping
+        _tables[which] = both
+    return both
 
 
 def words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
