@@ -11,19 +11,27 @@ in at most ``FULL_RADIUS``. The search for such pairs is exact:
   candidates of a part at each radius is counted over all fingerprints, by a
   Walsh-Hadamard transform of the histogram of the part's values.
 * Fingerprints are sent to sub-cubes of a part's values (and to the neighbouring
-  sub-cubes within its radius); each task probes its sub-cube, verifies the
-  candidates, and hands on only a spanning forest of the near pairs, which has
-  the same connected components and at most one edge a row.
+  sub-cubes within its radius). The rows that each sub-cube gets are counted
+  beforehand; one of over ``2 * TASK_ROWS`` is dealt to blocks by a hash, and its
+  tasks are the pairs of blocks, so no task outgrows that, however the values
+  crowd. Each task probes its rows, verifies the candidates, and hands on only a
+  spanning forest of the near pairs, which has the same connected components and
+  at most one edge a row.
+* In a task, rows of equal value are first held against a few leaders of theirs,
+  and pairs that are already connected are not candidates any more, so a crowd of
+  near copies costs a few comparisons a row.
 
 Groups are the connected components. Equal fingerprints are collapsed before
 the search, so thousands of equal copies cost one row.
 
 Defined results: a null text counts as an empty one, and an empty one is never a
 copy of anything. A text without words, such as one of punctuation, stands for
-one word, so it is a copy of equal texts only. Of a group the least ``doc_id``
-stays (nulls last). Rows of equal ``doc_id`` are one
-document in a report; in ``drop_near_copies`` repeated rows are copies too, and
-exactly one row of each group stays.
+one word, so it is a copy of equal texts only. A very long text is one slice of
+its own. Of a group the least ``doc_id`` stays (nulls last). Rows of equal
+``doc_id`` are one document in a report; in ``drop_near_copies`` repeated rows are
+copies too, and exactly one row of each group stays. Documents are named there by
+128 bits of hashes. An empty table has no groups. Other columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -38,16 +46,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from glyphwell.llm import kernels
 from glyphwell.llm.arrow import map_batches, record
+from glyphwell.llm.chunks import row_keys
 from glyphwell.llm.components import connected_components
 from glyphwell.session import cut, free_names
 
 #: Most differing bits of near copies: among the first 64, and among all 256.
-RADIUS = 8
+RADIUS = 10
 FULL_RADIUS = 36
 #: Rows that one probing task should hold.
 TASK_ROWS = 200_000
 #: Cost of a row sent to a sub-cube, in verified candidates.
 ROW_COST = 60.0
+#: Rows of one value that are held against leaders first, and rounds of leaders.
+CROWD, LEADERS = 64, 4
 
 _SEEDS = (np.uint64(0), np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D))
 # Byte b as eight byte-wide lanes, lane k holding bit k: lanes add up to 255 words at once.
@@ -96,24 +107,28 @@ def simhashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return prints, worded
 
 
-def fingerprints(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key``, ``f0`` .. ``f3`` of the documents that have text. ``key`` is a BIGINT."""
+def fingerprints(docs: DataFrame, key: str, text: str = "text", also: list[str] | None = None) -> DataFrame:
+    """``key``, ``f0`` .. ``f3``, and further BIGINT columns, of the documents that have text. ``key`` is a BIGINT."""
+    also = also or []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         prints, worded = simhashes(batch.column(1))
-        signed = prints[worded].view(np.int64)
-        return record(_FINGERPRINT, key=batch.column(0).filter(pa.array(worded)), **{f"f{k}": signed[:, k].copy() for k in range(4)})
+        signed, mask = prints[worded].view(np.int64), pa.array(worded)
+        more = {name: batch.column(2 + k).filter(mask) for k, name in enumerate(also)}
+        return record(_FINGERPRINT | dict.fromkeys(also, pa.int64()), key=batch.column(0).filter(mask), **{f"f{k}": signed[:, k].copy() for k in range(4)}, **more)
 
-    return map_batches(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, "key bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+    columns = [F.col(key).alias("key"), F.col(text).alias("text"), *(F.col(c).cast("bigint").alias(c) for c in also)]
+    return map_batches(docs.select(*columns), run, "key bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint" + "".join(f", {c} bigint" for c in also))
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Bits of each part, its radius (-1: not probed), and the bits that name its sub-cubes."""
+    """Bits of each part, its radius (-1: not probed), the bits that name its sub-cubes, and the blocks of large sub-cubes."""
 
     parts: tuple[tuple[int, ...], ...]
     radii: tuple[int, ...]
     cube_bits: tuple[int, ...]
+    blocks: tuple[dict[int, int], ...]
 
 
 def group_bits(correlation: np.ndarray, parts: int) -> tuple[tuple[int, ...], ...]:
@@ -234,7 +249,13 @@ def plan(prints: DataFrame, radius: int = RADIUS, task_rows: int = TASK_ROWS) ->
         pairs = candidate_counts(v_of[mine], c_of[mine], len(bits), max(total + m - 1, 0)) / 2
         most = min(len(bits), total + m - 1)
         cost.append([0.0] + [pairs[t] + n * (ROW_COST * _ball(_cube(len(bits), cubes), t) + 4 * _ball(len(bits), t)) for t in range(most + 1)])
-    return Plan(parts, allocate(cost, total), tuple(_cube(len(bits), cubes) for bits in parts))
+    radii, cube_bits, blocks = allocate(cost, total), tuple(_cube(len(bits), cubes) for bits in parts), []
+    for p, (radius_p, cube) in enumerate(zip(radii, cube_bits)):
+        at_home = np.bincount(v_of[p_of == p] & ((1 << cube) - 1), weights=c_of[p_of == p], minlength=1 << cube)
+        got = sum(at_home[np.arange(1 << cube) ^ mask] for mask in _masks(cube, radius_p)) if radius_p >= 0 else at_home
+        many = np.ceil(got / task_rows).astype(int)
+        blocks.append({int(c): int(many[c]) for c in np.flatnonzero(got > 2 * task_rows)})
+    return Plan(parts, radii, cube_bits, tuple(blocks))
 
 
 def _masks(width: int, radius: int) -> np.ndarray:
@@ -243,55 +264,87 @@ def _masks(width: int, radius: int) -> np.ndarray:
 
 
 def send(prints: DataFrame, how: Plan) -> DataFrame:
-    """Each fingerprint once for its sub-cube of every part, and once for each sub-cube within the radius."""
+    """Each fingerprint once for its sub-cube of every part, and once for each sub-cube within the radius; to all tiles of its block."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
         f0 = columns[1].view(np.uint64)
+        lot = kernels.mix64(columns[0].view(np.uint64))
         out = []
         for p, (bits, radius, cube) in enumerate(zip(how.parts, how.radii, how.cube_bits)):
             if radius < 0:
                 continue
             value = part_value(f0, bits)
             home = value & np.uint32((1 << cube) - 1)
+            many = np.ones(1 << cube, np.int64)
+            for c, n in how.blocks[p].items():
+                many[c] = n
             for mask in _masks(cube, radius):
-                out.append((np.arange(len(f0)), np.full(len(f0), p, np.int32), (home ^ mask).astype(np.int32), np.full(len(f0), mask == 0)))
+                to, own = (home ^ mask).astype(np.int64), np.full(len(f0), mask == 0)
+                n = many[to]
+                at = np.repeat(np.arange(len(f0)), n)
+                block = (lot % n.astype(np.uint64)).astype(np.int64)[at]
+                other = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                tile = np.minimum(block, other) * n[at] + np.maximum(block, other)
+                out.append((at, np.full(len(at), p, np.int32), to[at].astype(np.int32), tile, own[at]))
         if not out:
             return None
-        at, part, cube, own = (np.concatenate(x) for x in zip(*out))
-        return pa.RecordBatch.from_pydict({"part": part, "cube": cube, "own": own} | {n: c[at] for n, c in zip(_FINGERPRINT, columns)})
+        at, part, cube, tile, own = (np.concatenate(x) for x in zip(*out))
+        return pa.RecordBatch.from_pydict({"part": part, "cube": cube, "tile": tile, "own": own} | {n: c[at] for n, c in zip(_FINGERPRINT, columns)})
 
-    return map_batches(prints.select(*_FINGERPRINT), run, "part int, cube int, own boolean, key bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+    return map_batches(prints.select(*_FINGERPRINT), run, "part int, cube int, tile bigint, own boolean, key bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
 
 
-def near_pairs(f: np.ndarray, own: np.ndarray, bits: tuple[int, ...], part_radius: int, radius: int, full_radius: int, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows (i, j) of ``f`` (rows, 4), i one's own: within ``part_radius`` in the part and near over all bits."""
+def link(f: np.ndarray, own: np.ndarray, bits: tuple[int, ...], part_radius: int, radius: int, full_radius: int, most: int = 1 << 21) -> Forest:
+    """A forest of the rows of ``f`` (rows, 4) that joins all pairs, one of them own, within ``part_radius`` in the part and near over all bits."""
+    forest = Forest(len(f))
+
+    def add(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        near = np.bitwise_count(f[i, 0] ^ f[j, 0]) <= radius
+        at = np.flatnonzero(near)
+        near[at] = np.bitwise_count(f[i[at]] ^ f[j[at]]).sum(axis=1, dtype=np.int32) <= full_radius
+        forest.add(i[near], j[near])
+        return near
+
     value = part_value(f[:, 0], bits)
-    order = np.argsort(value, kind="stable")
-    value, mine = value[order], order[own[order]]
-    mine_value = part_value(f[mine, 0], bits)
-    distinct, start = np.unique(value, return_index=True)
-    stop = np.append(start[1:], len(value))
-    mine_distinct, mine_slot = np.unique(mine_value, return_inverse=True)
+    _, slot, size = np.unique(value, return_inverse=True, return_counts=True)
+    alive = np.flatnonzero(size[slot] > CROWD)
+    for _ in range(LEADERS):
+        if not len(alive):
+            break
+        _, head, own_value = np.unique(value[alive], return_index=True, return_inverse=True)
+        leader = alive[head][own_value]
+        near = add(leader, alive)
+        alive = alive[~near]
+    mine = np.flatnonzero(own)
+    mine_distinct, mine_slot = np.unique(value[mine], return_inverse=True)
     for mask in _masks(len(bits), part_radius):
+        root = forest.root(np.arange(len(f)))
+        order = np.lexsort((root, value))
+        distinct, start = np.unique(value[order], return_index=True)
+        stop = np.append(start[1:], len(value))
         at = np.searchsorted(distinct, mine_distinct ^ mask)
         at[at == len(distinct)] = 0
         hit = distinct[at] == (mine_distinct ^ mask) if len(distinct) else np.zeros(len(at), bool)
-        sizes = np.where(hit, stop[at] - start[at], 0)[mine_slot]
-        begins = start[at][mine_slot]
+        low, high = np.where(hit, start[at], 0)[mine_slot], np.where(hit, stop[at], 0)[mine_slot]
+        # Of a crowd, those of the row's own tree are passed over.
+        crowd = np.flatnonzero(high - low > CROWD)
+        named = (value[order].astype(np.uint64) << np.uint64(32)) | root[order].astype(np.uint64)
+        wanted = ((value[mine[crowd]] ^ mask).astype(np.uint64) << np.uint64(32)) | root[mine[crowd]].astype(np.uint64)
+        left, right = np.searchsorted(named, wanted), np.searchsorted(named, wanted, side="right")
+        rows = np.concatenate((mine, mine[crowd]))
+        begins, sizes = np.concatenate((low, right)), np.concatenate((high - low, high[crowd] - right))
+        sizes[crowd] = left - low[crowd]
         ends = np.cumsum(sizes)
         a = 0
-        while a < len(mine):  # so many rows that their candidates fit into memory
+        while a < len(rows):  # so many rows that their candidates fit into memory
             before = ends[a - 1] if a else 0
             b = max(a + 1, int(np.searchsorted(ends, before + most, side="right")))
             count = sizes[a:b]
-            i = np.repeat(mine[a:b], count)
-            j = order[np.repeat(begins[a:b] - (ends[a:b] - count) + before, count) + np.arange(len(i))]
-            ok = np.bitwise_count(f[i, 0] ^ f[j, 0]) <= radius
-            i, j = i[ok], j[ok]
-            ok = np.bitwise_count(f[i] ^ f[j]).sum(axis=1, dtype=np.int32) <= full_radius
-            yield i[ok], j[ok]
+            i = np.repeat(rows[a:b], count)
+            add(i, order[np.repeat(begins[a:b] - (ends[a:b] - count) + before, count) + np.arange(len(i))])
             a = b
+    return forest
 
 
 class Forest:
@@ -304,7 +357,7 @@ class Forest:
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
         parent = self.parent
         while len(i):
-            a, b = self._root(i), self._root(j)
+            a, b = self.root(i), self.root(j)
             apart = a != b
             i, j, a, b = i[apart], j[apart], a[apart], b[apart]
             if not len(i):
@@ -315,7 +368,7 @@ class Forest:
             parent[root] = low[at]
             self.edges.append((i[at], j[at]))
 
-    def _root(self, x: np.ndarray) -> np.ndarray:
+    def root(self, x: np.ndarray) -> np.ndarray:
         up = self.parent[x]
         while not np.array_equal(above := self.parent[up], up):
             up = above
@@ -331,26 +384,24 @@ def near_edges(prints: DataFrame, how: Plan, radius: int = RADIUS, full_radius:
         p = table.column("part")[0].as_py()
         f = np.stack([table.column(f"f{k}").to_numpy().view(np.uint64) for k in range(4)], axis=1)
         key, own = table.column("key").to_numpy(), table.column("own").to_numpy(zero_copy_only=False)
-        forest = Forest(len(f))
-        for i, j in near_pairs(f, own, how.parts[p], how.radii[p], radius, full_radius):
-            forest.add(i[i != j], j[i != j])
+        forest = link(f, own, how.parts[p], how.radii[p], radius, full_radius)
         i, j = (np.concatenate(x) for x in zip(*forest.edges)) if forest.edges else (np.zeros(0, np.int64),) * 2
         return pa.table({"u": key[i], "v": key[j]})
 
-    return send(prints, how).groupBy("part", "cube").applyInArrow(run, "u bigint, v bigint")
+    return send(prints, how).groupBy("part", "cube", "tile").applyInArrow(run, "u bigint, v bigint")
+
+
+_FACES = ["f0", "f1", "f2", "f3"]
 
 
-def near_groups(rows: DataFrame, key: str, text: str = "text", radius: int = RADIUS, full_radius: int = FULL_RADIUS, task_rows: int = TASK_ROWS) -> DataFrame:
+def near_groups(known: DataFrame, radius: int = RADIUS, full_radius: int = FULL_RADIUS, task_rows: int = TASK_ROWS) -> DataFrame:
     """``key``, ``head``: every key but the least of its group of near copies, with that least one.
 
-    ``key`` is a BIGINT without nulls that names a document.
+    ``known`` has a BIGINT ``key`` without nulls that names a document, and ``f0`` .. ``f3``.
     """
-    slim = rows.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0)
-    faces = ["f0", "f1", "f2", "f3"]
-    known = cut(fingerprints(slim, "key"))
-    distinct = cut(known.groupBy(*faces).agg(F.min("key").alias("key")))
+    distinct = cut(known.groupBy(*_FACES).agg(F.min("key").alias("key")))
     edges = near_edges(distinct, plan(distinct, radius, task_rows), radius, full_radius)
-    equal = known.join(distinct.withColumnRenamed("key", "least"), faces).where("key <> least").select(F.col("key").alias("u"), F.col("least").alias("v"))
+    equal = known.join(distinct.withColumnRenamed("key", "least"), _FACES).where("key <> least").select(F.col("key").alias("u"), F.col("least").alias("v"))
     return connected_components(edges.union(equal)).select(F.col("u").alias("key"), F.col("v").alias("head"))
 
 
@@ -359,8 +410,8 @@ def near_copies(docs: DataFrame, **options) -> DataFrame:
 
     Documents without a ``doc_id`` can't be named and are left out.
     """
-    found = near_groups(docs.where("doc_id is not null"), "doc_id", **options)
-    return found.select(F.col("key").alias("doc_id"), F.col("head").alias("duplicate_of"))
+    named = docs.where("doc_id is not null and length(text) > 0").select(F.col("doc_id").cast("bigint").alias("key"), "text")
+    return near_groups(cut(fingerprints(named, "key")), **options).select(F.col("key").alias("doc_id"), F.col("head").alias("duplicate_of"))
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
@@ -370,22 +421,26 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     ``doc_id`` and text, the one whose JSON comes first. Rows of null or empty
     text all stay.
     """
-    key, n = free_names(docs, "row_key", "n")
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    key, key2 = free_names(docs, "row_key", "row_key2")
+    one, two = row_keys()
+    keyed = docs.withColumn(key, one).withColumn(key2, two)
     worded = F.length("text") > 0
-    names = cut(keyed.where(worded).groupBy(key, "doc_id").agg(F.count("*").alias(n)))
-    groups = cut(near_groups(keyed.where(worded), key, **options))
-    members = groups.union(groups.select("head", "head").distinct()).join(names, F.col("key") == F.col(key))
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
-    stay = members.groupBy("head").agg(F.min_by("key", rank).alias("stay"))
-    lost = members.join(stay, "head").where("key <> stay").select(F.col("key").alias(key))
-    left = keyed.join(lost, key, "left_anti")
-    repeated = names.where(F.col(n) > 1).select(key)
+    slim = docs.where(worded).select(one.alias("k1"), two.alias("k2"), F.col("doc_id").alias("id"), "text")
+    rows = fingerprints(slim, "k1", also=["k2", "id"]).groupBy("key", "k2", "id", *_FACES).agg(F.count("*").alias("n"))
+    # Numbers of their own, so that no two documents share one; fixed once they are in the shared folder.
+    names = cut(rows.withColumnRenamed("key", "k1").withColumn("key", F.monotonically_increasing_id()))
+    groups = cut(near_groups(names.select("key", *_FACES), **options))
+    members = groups.union(groups.select("head", "head").distinct()).join(names.select("key", "k1", "k2", "id"), "key")
+    stay = members.groupBy("head").agg(F.min_by("key", F.struct(F.col("id").isNull(), "id", "k1", "k2")).alias("stay"))
+    lost = members.join(stay, "head").where("key <> stay").select(F.col("k1").alias(key), F.col("k2").alias(key2))
+    left = keyed.join(lost, [key, key2], "left_anti")
+    repeated = names.where("n > 1").select(F.col("k1").alias(key), F.col("k2").alias(key2))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     if not repeated.isEmpty():
-        row = F.struct(*docs.columns)
-        again = left.where(worded).join(repeated, key, "left_semi").groupBy(key).agg(F.min_by(row, F.to_json(row)).alias(key + "_row"))
-        left = left.join(repeated, key, "left_anti").select(*docs.columns).union(again.select(*(F.col(f"{key}_row.`{c}`") for c in docs.columns)))
-    return left.select(*docs.columns)
+        row = F.struct(*columns)
+        again = left.where(worded).join(repeated, [key, key2], "left_semi").groupBy(key, key2).agg(F.min_by(row, F.to_json(row)).alias(key + "_row"))
+        left = left.join(repeated, [key, key2], "left_anti").select(*columns).union(again.select(*(F.col(f"{key}_row.`{c}`") for c in docs.columns)))
+    return left.select(*columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
