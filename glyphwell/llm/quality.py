@@ -2,22 +2,27 @@
 
 A document's score is linear in style features of its whole text: shares of
 capitals, digits, symbols, marks, line ends and repeated words, and word length.
-The weights come from preference pairs of one labelled good and one labelled bad
-document: the probability that the good one is preferred is the logistic of the
-score difference, so the loss is logistic on feature differences, without an
-intercept, and is minimised by Newton's method.
+The weights come from preference pairs, one for every labelled good and every
+labelled bad document of the sample: the probability that the good one is
+preferred is the logistic of the score difference, so the loss is logistic on
+feature differences, without an intercept. Newton's method minimises it over all
+pairs; gradient and Hessian need only sums over rows and columns of the pairs'
+probabilities, which are made in blocks.
 
 The threshold is a quantile of the scores of all documents. Its level is the one,
 of every 0.01 %, that separates the labelled documents best in balanced accuracy,
 and the lowest of equals, so that no fixed share of good documents is lost.
 
 The model is fitted on at most ``LABELLED_ROWS`` labelled documents, the first by
-a hash of the id; scoring and quantiles cover all documents.
+a hash of the id, counted after labels and documents are joined; scoring and
+quantiles cover all documents.
 
 Defined results: a null or empty text has no score and is rejected. A null label
 is no label. If either class has no labelled document nothing can be ranked, and
 every document with text is kept with score 0. Repeated label rows count as often
 as they come; equal documents have equal scores; a score at the threshold is kept.
+A very long text is one slice of its own. Of an empty table nothing is kept.
+Other columns pass through ``drop_poor``, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,8 +38,8 @@ from glyphwell.llm.arrow import map_batches, pieces
 from glyphwell.session import cut
 
 LABELLED_ROWS = 20_000
-#: Pairs that each document of the rarer class takes part in, at most.
-PARTNERS = 8
+#: Pairs whose probabilities are in memory at once.
+_BLOCK = 1 << 22
 LEVELS = 10_000
 RIDGE = 1e-3
 
@@ -84,31 +89,45 @@ def features(column: pa.Array) -> np.ndarray:
 
 
 def rank(good: np.ndarray, bad: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
-    """Bradley-Terry weights from features of preferred and other documents."""
+    """Bradley-Terry weights from features of preferred and other documents: the minimum of the mean loss of all pairs."""
     scale = np.vstack((good, bad)).std(axis=0)
     scale[scale < 1e-12] = 1.0
-    few, many = sorted((len(good), len(bad)))
-    pairs = min(few * PARTNERS, few * many) if many > PARTNERS else few * many
-    pairs = max(pairs, many)
-    i, j = np.arange(pairs) % len(good), (np.arange(pairs) + np.arange(pairs) // np.lcm(len(good), len(bad))) % len(bad)
-    d = (good[i] - bad[j]) / scale
-    w = np.zeros(d.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))
-        gradient = d.T @ p / len(d) - ridge * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w))
+    g, b = good / scale, bad / scale
+    pairs, step_rows = len(g) * len(b), max(1, _BLOCK // len(b))
+    w = np.zeros(g.shape[1])
+    for _ in range(100):
+        gradient, hessian = -ridge * w, ridge * np.eye(len(w))
+        column, column_q = np.zeros(len(b)), np.zeros(len(b))
+        against = (b @ w).astype(np.float32)
+        for at in range(0, len(g), step_rows):
+            own = g[at : at + step_rows]
+            p = np.subtract.outer((own @ w).astype(np.float32), against)
+            np.clip(p, -80, 80, out=p)
+            np.exp(p, out=p)
+            p += 1
+            np.reciprocal(p, out=p)  # how far each pair is from being preferred
+            gradient += own.T @ p.sum(axis=1, dtype=np.float64) / pairs
+            column += p.sum(axis=0, dtype=np.float64)
+            p -= p * p
+            row_q = p.sum(axis=1, dtype=np.float64)
+            column_q += p.sum(axis=0, dtype=np.float64)
+            cross = own.T @ (p @ b.astype(np.float32)).astype(np.float64)
+            hessian += ((own * row_q[:, None]).T @ own - cross - cross.T) / pairs
+        gradient -= b.T @ column / pairs
+        hessian += (b * column_q[:, None]).T @ b / pairs
         step = np.linalg.solve(hessian, gradient)
         w += step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
-        if np.abs(step).max() < 1e-9:
+        if np.abs(step).max() < 1e-5:
             break
     return w / scale
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most ``rows`` labelled documents with text."""
-    known = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    known = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    order = (F.xxhash64("doc_id"), "doc_id", "quality")
     # At most ``rows`` short rows: small enough to broadcast whatever the corpus.
-    few = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows))
+    few = F.broadcast(known.orderBy(*order).limit(rows))
     found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).where(F.length("text") > 0).join(few, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,10 +135,10 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> t
             f = features(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(f.ravel()), len(FEATURES)).cast(pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["f", "quality", "doc_id"])
 
-    table = found.select("text", "quality", "doc_id").mapInArrow(run, "f array<double>, quality int, doc_id bigint").toPandas()
-    table = table.assign(f=[tuple(x) for x in table["f"]]).sort_values(["doc_id", "quality", "f"])
-    x = np.array(list(table["f"]), float).reshape(-1, len(FEATURES))
-    return x, table["quality"].to_numpy()
+    # Ids that several documents share bring more rows than labels, so the bound holds after the join.
+    table = found.select("text", "quality", "doc_id").mapInArrow(run, "f array<double>, quality int, doc_id bigint").orderBy(*order, "f").limit(rows).toArrow()
+    x = np.array(table.column("f").combine_chunks().flatten(), float).reshape(-1, len(FEATURES))
+    return x, table.column("quality").to_numpy()
 
 
 def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
