@@ -3,25 +3,34 @@
 Voters, each a lexicon of words or phrases or a pattern of a text's shape, vote
 on every document or abstain. Besides hand-written lexicons there are induced
 ones, for languages and slang that no one wrote down: the words, and beginnings
-of words, of at most ``LABELLED_ROWS`` labelled documents (the first by a hash of
-the id) that make a toxic label at least ``LEAST_LIFT`` times likelier. A generative label model with one hidden class
-estimates how often each voter fires on toxic and on other documents, by
-expectation maximisation over the counts of all vote patterns of the corpus.
-Correlated voters are found from what covariance is left given the class; each
-voter's evidence is divided by one plus its summed correlations, and the model is
-fitted again. Its posteriors are soft labels for a linear classifier on hashed
-words, which decides: a document is toxic if its probability is at least
-``DECIDE``.
+of words, of documents that at most ``LABELLED_ROWS`` label rows name (the first
+by a hash of the id), if the lower end of the 95 % interval of their lift on a
+toxic label is at least ``LEAST_LIFT``. That is a test of proportions, alike for
+label tables of every size.
+
+A generative label model with one hidden class estimates how often each voter
+fires on toxic and on other documents, by expectation maximisation over the
+counts of all vote patterns of the corpus. Correlations are parameters of it: a
+voter that is correlated with others given the class depends on the class and on
+the vote of one of them, its parent in the forest of greatest conditional mutual
+information, so what two voters both say isn't counted twice. Forest and
+parameters are estimated in turn. Its posteriors are soft labels for a linear
+classifier on hashed words, which decides: a document is toxic if its probability
+is at least ``DECIDE``.
 
 The model takes no label as true; induced voters are weighed like the others.
-The classifier's features are hashed words and beginnings of words. It is fitted on a sample of at most about ``TRAIN_ROWS`` documents of
-either side of the posterior, chosen by a hash of the text; votes, pattern
-counts and decisions cover all documents and whole texts. There are at most
-``2 ** len(VOTERS)`` patterns.
+The classifier's features are hashed words and beginnings of words. It is fitted
+on a sample of about ``TRAIN_ROWS`` distinct texts of either side of the
+posterior, chosen by a hash of the text; votes, pattern counts and decisions
+cover all documents and whole texts. All texts are read word by word twice, for
+their votes and for the decision; the sample is picked by hash before that.
+There are at most ``2 ** len(VOTERS)`` patterns.
 
 Defined results: null and empty texts are never toxic, nor is anything if no
-document draws a vote for toxicity. Equal texts are decided alike; each row of a
-repeated document is reported; a row without ``doc_id`` is reported without it.
+document draws a vote for toxicity, so of an empty table there is nothing. Equal
+texts are decided alike; each row of a repeated document is reported; a row
+without ``doc_id`` is reported without it. A very long text is one slice of its
+own. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +42,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from glyphwell.llm import kernels
-from glyphwell.llm.arrow import map_batches, pieces
+from glyphwell.llm.arrow import map_batches
+from glyphwell.session import cut
 
 TRAIN_ROWS = 5_000
 DECIDE = 0.5
@@ -64,9 +74,8 @@ SHAPES = ("several_insults", "dense_insults", "shouting", "sparse_insults")
 VOTERS = (*LEXICONS, *INDUCED, *SHAPES)
 FOR = np.array([n != "sparse_insults" for n in VOTERS])
 _SPARSE = 120
-#: Documents that an induced entry must be in, and how much likelier it must make the label.
-LEAST_SUPPORT = 10
-LEAST_LIFT = 20.0
+#: How much likelier an induced entry must make the label, at the lower end of its interval.
+LEAST_LIFT = 10.0
 LABELLED_ROWS = 20_000
 
 
@@ -206,62 +215,118 @@ def induce(docs: DataFrame, labels: DataFrame | None, rows: int = LABELLED_ROWS)
         return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(h, pa.int64()), pa.array(y, pa.int64())], ["kind", "h", "y"])
 
     counts = map_batches(found, run, "kind int, h bigint, y bigint").groupBy("kind", "h").agg(F.sum("y").alias("bad"), F.count("*").alias("n"))
-    table = counts.where(f"kind = -1 or bad >= {LEAST_SUPPORT}").toArrow()
-    kind, h, bad, n = (table.column(c).to_numpy() for c in ("kind", "h", "bad", "n"))
-    good_docs, bad_docs = (int(bad[(kind == -1) & (h == v)].sum()) for v in (0, 1))
+    size = {r.h: r.bad for r in counts.where("kind = -1").collect()}
+    good_docs, bad_docs = (int(size.get(v) or 0) for v in (0, 1))
     if not good_docs or not bad_docs:
         return NOTHING
-    lift = (bad / bad_docs) / ((n - bad + 0.5) / good_docs)
-    return tuple(np.sort(h[(kind == k) & (lift >= LEAST_LIFT)].view(np.uint64)) for k in range(len(INDUCED)))
+    # The log of the lift, with half a document of either kind added, less 1.96 standard errors.
+    good = F.col("n") - F.col("bad")
+    log_lift = F.log((F.col("bad") + 0.5) / (bad_docs + 1)) - F.log((good + 0.5) / (good_docs + 1))
+    error = F.sqrt(1 / (F.col("bad") + 0.5) - 1 / (bad_docs + 1) + 1 / (good + 0.5) - 1 / (good_docs + 1))
+    table = counts.where((F.col("kind") >= 0) & (F.col("bad") > 0) & (log_lift - 1.96 * error >= float(np.log(LEAST_LIFT)))).select("kind", "h").toArrow()
+    kind, h = (table.column(c).to_numpy() for c in ("kind", "h"))
+    return tuple(np.sort(h[kind == k].view(np.uint64)) for k in range(len(INDUCED)))
+
+
+def forest(weight: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """The parent of each vertex (-1: none) in the forest of greatest weight over the allowed edges."""
+    n, parent = len(weight), np.full(len(weight), -1)
+    free = set(range(n))
+    while free:
+        tree = [min(free)]
+        free.discard(tree[0])
+        while True:
+            edges = [(weight[a, b], -a, -b) for a in tree for b in free if allowed[a, b]]
+            if not edges:
+                break
+            _, a, b = max(edges)
+            parent[-b] = -a
+            tree.append(-b)
+            free.discard(-b)
+    return parent
 
 
 class LabelModel:
-    """Rates of the voters in either class, their correlations, and the posterior of a pattern."""
+    """Rates of the voters in either class given their parents' votes, and the posterior of a pattern."""
+
+    #: Correlation given the class from which on a voter may depend on another.
+    CORRELATED = 0.1
 
     def __init__(self, patterns: np.ndarray, counts: np.ndarray) -> None:
-        x = ((patterns[:, None] >> np.arange(len(VOTERS))) & 1).astype(float)
-        n = counts.astype(float)
-        self.rates = np.where(FOR, [[0.01], [0.3]], [[0.9], [0.1]])  # row 0: other documents, row 1: toxic ones
-        self.prior, self.weight = 0.05, np.ones(len(VOTERS))
-        self.correlation = np.eye(len(VOTERS))
+        x, n, v = self._bits(patterns), counts.astype(float), len(VOTERS)
+        self.parent, self.prior = np.full(v, -1), 0.05
+        # By class (0: other documents), voter and the parent's vote; without a parent both are equal.
+        self.given = np.repeat(np.where(FOR, [[0.01], [0.3]], [[0.9], [0.1]])[:, :, None], 2, axis=2)
         for _ in range(3):
             for _ in range(200):
                 p = self._posterior(x)
-                mass = np.array([(n * (1 - p)).sum(), (n * p).sum()])
-                rates = np.stack(((n * (1 - p)) @ x + [0.1] * len(VOTERS), (n * p) @ x + [0.1] * len(VOTERS))) / (mass[:, None] + 0.2)
-                prior = (mass[1] + 0.1) / (mass.sum() + 0.2)
-                moved = np.abs(rates - self.rates).max() + abs(prior - self.prior)
-                self.rates, self.prior = np.clip(rates, 1e-6, 1 - 1e-6), prior
+                moved = self._fit(x, n, p)
                 if moved < 1e-7:
                     break
-            # What covariance the class leaves unexplained.
-            means = [(n * q) @ x / max((n * q).sum(), 1e-12) for q in (1 - p, p)]
-            covariance = sum(((x - r) * (n * q)[:, None]).T @ (x - r) for r, q in zip(means, (1 - p, p))) / n.sum()
+            p = self._posterior(x)
+            information = np.zeros((v, v))
+            covariance = np.zeros((v, v))
+            for q in (1 - p, p):
+                w = n * q / n.sum()
+                one = w @ x
+                both = {(1, 1): (x * w[:, None]).T @ x}
+                both[1, 0], both[0, 1] = one[:, None] - both[1, 1], one[None, :] - both[1, 1]
+                both[0, 0] = w.sum() - one[:, None] - one[None, :] + both[1, 1]
+                marginal = {1: one, 0: w.sum() - one}
+                for (a, b), joint in both.items():
+                    product = np.outer(marginal[a], marginal[b]) / max(w.sum(), 1e-300)
+                    information += np.where((joint > 1e-12) & (product > 1e-300), joint * np.log(np.maximum(joint, 1e-12) / np.maximum(product, 1e-300)), 0)
+                covariance += both[1, 1] - np.outer(one, one) / max(w.sum(), 1e-300)
             spread = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
             self.correlation = covariance / np.outer(spread, spread)
-            strong = np.where(np.abs(self.correlation) > 0.1, np.abs(self.correlation), 0)
-            np.fill_diagonal(strong, 0)
-            self.weight = 1 / (1 + strong.sum(axis=1))
+            before = self.parent
+            self.parent = forest(information, (np.abs(self.correlation) > self.CORRELATED) & ~np.eye(v, dtype=bool))
+            if (before == self.parent).all():
+                break
+            self._fit(x, n, p)
+
+    @property
+    def rates(self) -> np.ndarray:
+        """How often each voter fires in either class, whatever its parent says."""
+        return self.marginal
+
+    def _bits(self, patterns: np.ndarray) -> np.ndarray:
+        return ((patterns[:, None] >> np.arange(len(VOTERS))) & 1).astype(float)
+
+    def _fit(self, x: np.ndarray, n: np.ndarray, p: np.ndarray) -> float:
+        """Parameters from posteriors; how far the largest one moved."""
+        given, has = np.empty_like(self.given), self.parent >= 0
+        self.marginal = np.empty((2, x.shape[1]))
+        above = np.where(has, x[:, self.parent], 0)
+        for c, q in enumerate((1 - p, p)):
+            w = n * q
+            self.marginal[c] = (w @ x + 0.1) / (w.sum() + 0.2)
+            for vote in (0, 1):
+                chosen = np.where(has, above == vote, True) * w[:, None]
+                given[c, :, vote] = ((chosen * x).sum(axis=0) + 0.1) / (chosen.sum(axis=0) + 0.2)
+        given, prior = np.clip(given, 1e-6, 1 - 1e-6), ((n * p).sum() + 0.1) / (n.sum() + 0.2)
+        moved = np.abs(given - self.given).max() + abs(prior - self.prior)
+        self.given, self.prior = given, prior
+        return moved
 
     def _posterior(self, x: np.ndarray) -> np.ndarray:
-        fire, abstain = np.log(self.rates[1] / self.rates[0]), np.log((1 - self.rates[1]) / (1 - self.rates[0]))
-        odds = np.log(self.prior / (1 - self.prior)) + (x * fire + (1 - x) * abstain) @ self.weight
+        above = np.where(self.parent >= 0, x[:, self.parent], 0).astype(int)
+        rate = self.given[:, np.arange(x.shape[1]), above]
+        odds = np.log(self.prior / (1 - self.prior)) + np.where(x > 0, np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))).sum(axis=1)
         # A document for which no voter speaks isn't toxic, whatever the rest says.
         return np.where(x[:, FOR].any(axis=1), 1 / (1 + np.exp(-np.clip(odds, -500, 500))), 0.0)
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        return self._posterior(((patterns[:, None] >> np.arange(len(VOTERS))) & 1).astype(float))
+        return self._posterior(self._bits(patterns))
 
 
-def pattern_counts(docs: DataFrame, induced: Induced = NOTHING) -> tuple[np.ndarray, np.ndarray]:
-    """The vote patterns of all texts of the column ``text``, and how many texts have each."""
+def voted(texts: DataFrame, induced: Induced = NOTHING) -> DataFrame:
+    """``draw`` and ``pattern`` of every text of ``texts`` (``text``, ``draw``)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        p, n = np.unique(votes(batch.column(0), induced), return_counts=True)
-        return pa.RecordBatch.from_pydict({"pattern": p, "n": n.astype(np.int64)})
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(votes(batch.column(0), induced))], ["draw", "pattern"])
 
-    found = map_batches(docs.select("text"), run, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).toArrow().sort_by("pattern")
-    return found.column("pattern").to_numpy(), found.column("n").to_numpy()
+    return map_batches(texts.select("text", "draw"), run, "draw bigint, pattern bigint")
 
 
 def minimise(f, x: np.ndarray, rounds: int, memory: int = 10) -> np.ndarray:
@@ -325,46 +390,40 @@ class Classifier:
 
 def train(docs: DataFrame, labels: DataFrame | None = None, rows: int = TRAIN_ROWS) -> Classifier | None:
     """The classifier for the texts of ``docs``, or None if nothing is voted toxic."""
-    slim = docs.where(F.length("text") > 0).select("text")
-    induced = induce(docs, labels)
-    patterns, counts = pattern_counts(slim, induced)
+    texts = docs.where(F.length("text") > 0).select("text", F.xxhash64("text").alias("draw"))
+    seen = cut(voted(texts, induce(docs, labels)))
+    found = seen.groupBy("pattern").agg(F.count("*").alias("n")).toArrow().sort_by("pattern")
+    patterns, counts = found.column("pattern").to_numpy(), found.column("n").to_numpy()
     if not len(patterns) or not ((patterns & int((FOR << np.arange(len(VOTERS))).sum())) > 0).any():
         return None
-    model = LabelModel(patterns, counts)
-    p = model.posterior(patterns)
-    share = {}
-    for toxic in (False, True):
-        total = counts[(p >= 0.5) == toxic].sum()
-        share[toxic] = min(1.0, rows / total) if total else 1.0
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        column, draw = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
-        out_row, out_buckets, out_target = [], [], []
-        for first, last, s in word_rows(column):
-            target = p[np.searchsorted(patterns, _votes(s, induced))]
-            lot = (draw[first:last].view(np.uint64) >> np.uint64(11)).astype(np.float64) / 2.0**53
-            chosen = lot < np.where(target >= 0.5, share[True], share[False])
+    p = LabelModel(patterns, counts).posterior(patterns)
+    toxic = p >= 0.5
+    # A text is drawn if its hash, as a number from 0 to 1, is below its side's share.
+    share = {side: min(1.0, rows / max(int(counts[toxic == side].sum()), 1)) for side in (False, True)}
+    kinds = texts.sparkSession.createDataFrame([(int(a), float(b), share[b >= 0.5]) for a, b in zip(patterns, p)], "pattern bigint, target double, share double")
+    lot = (F.shiftrightunsigned("draw", 11) / float(1 << 53)).alias("lot")
+    # About ``rows`` hashes of either side: small enough to broadcast whatever the corpus, as patterns are.
+    drawn = seen.join(F.broadcast(kinds), "pattern").where(lot < F.col("share")).groupBy("draw").agg(F.max("target").alias("target"))
+    sample = texts.join(F.broadcast(drawn), "draw").groupBy("draw").agg(F.first("text").alias("text"), F.first("target").alias("target")).select("text", "draw", "target")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for _, _, s in word_rows(batch.column(0)):
             r, b = s.buckets()
-            for k in np.flatnonzero(chosen):
-                out_row.append(draw[first + k])
-                out_buckets.append(b[np.searchsorted(r, k) : np.searchsorted(r, k, side="right")].astype(np.int32))
-                out_target.append(target[k])
-        if not out_row:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(out_row, pa.int64()), pa.array(out_buckets, pa.list_(pa.int32())), pa.array(out_target, pa.float64())], ["draw", "buckets", "target"])
-
-    table = map_batches(slim.select("text", F.xxhash64("text").alias("draw")), run, "draw bigint, buckets array<int>, target double").toArrow()
-    order = np.argsort(table.column("draw").to_numpy(), kind="stable")
-    table = table.combine_chunks().take(pa.array(order))
+            edge = np.searchsorted(r, np.arange(s.n + 1))
+            out += [b[x:y].astype(np.int32) for x, y in zip(edge, edge[1:])]
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.list_(pa.int32())), batch.column(2)], ["draw", "buckets", "target"])
+
+    table = map_batches(sample, run, "draw bigint, buckets array<int>, target double").toArrow().combine_chunks().sort_by("draw")
     lists = table.column("buckets").combine_chunks()
     row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
     target = table.column("target").to_numpy()
     # Each side counts as much as it does in the corpus, but neither less than a fifth.
-    toxic = target >= 0.5
-    weight = np.where(toxic, 1 / max(toxic.sum(), 1), 1 / max((~toxic).sum(), 1))
-    mass = np.clip(counts[p >= 0.5].sum() / counts.sum(), 0.2, 0.8)
-    weight *= np.where(toxic, mass, 1 - mass)
-    return Classifier(*fit(row, lists.values.to_numpy(zero_copy_only=False), target, weight))
+    bad = target >= 0.5
+    weight = np.where(bad, 1 / max(bad.sum(), 1), 1 / max((~bad).sum(), 1))
+    mass = np.clip(counts[toxic].sum() / counts.sum(), 0.2, 0.8)
+    weight *= np.where(bad, mass, 1 - mass)
+    return Classifier(*fit(row, lists.flatten().to_numpy(zero_copy_only=False), target, weight))
 
 
 def toxic(docs: DataFrame, labels: DataFrame | None = None, rows: int = TRAIN_ROWS, decide: float = DECIDE) -> DataFrame:
