@@ -15,9 +15,11 @@ QUERIES = {
     "op8_sharding": sharding.query,
     "op9_toxicity": toxicity.query,
     "op10_simhash_near_dedup": simhash.query,
+    "embedding_copies_of_all": embedding.with_copies,
 }
 ORACLES: dict[str, str] = {
     "op1_embedding_near_dedup": embedding.ORACLE,
+    "embedding_copies_of_all": embedding.COPIES_ORACLE,
     "op4_harmonic_packing": packing.ORACLE,
     "op8_sharding": sharding.ORACLE,
 }
