@@ -15,9 +15,10 @@ without containment all stand.
 Matching ignores ASCII and Unicode case, and any run of whitespace stands for a
 space of a rule, so notices that are wrapped at line ends are found.
 
-Defined results: null and empty texts have no detections. Each row of a repeated
-document is reported; a row without ``doc_id`` is reported without it. Offsets
-count code points; ``stop`` is past the last.
+Defined results: null and empty texts have no detections, and neither has an
+empty table. Each row of a repeated document is reported; a row without ``doc_id``
+is reported without it. Offsets count code points; ``stop`` is past the last. A
+text of any length is read whole. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -256,11 +257,27 @@ def expressions(text: str) -> list[tuple[int, int, int, int]]:
 
 
 def resolve(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """The accepted ones of (priority, start, stop, rule number), by start."""
+    """The accepted ones of (priority, start, stop, rule number), by start.
+
+    A hit is contained in an accepted one if the furthest stop of those that start
+    no later reaches its own; a Fenwick tree over the starts keeps that, so many
+    hits in a long text cost little more than sorting them.
+    """
+    rank = {start: k for k, start in enumerate(sorted({h[1] for h in found}), 1)}
+    furthest = [-1] * (len(rank) + 1)
     kept: list[tuple[int, int, int, int]] = []
     for hit in sorted(found, key=lambda h: (h[0], h[1] - h[2], h[1], h[3])):
-        if not any(k[1] <= hit[1] and hit[2] <= k[2] for k in kept):
-            kept.append(hit)
+        k, reach = rank[hit[1]], -1
+        while k:
+            reach = max(reach, furthest[k])
+            k &= k - 1
+        if reach >= hit[2]:
+            continue
+        kept.append(hit)
+        k = rank[hit[1]]
+        while k < len(furthest):
+            furthest[k] = max(furthest[k], hit[2])
+            k += k & -k
     return sorted(kept, key=lambda h: (h[1], h[2], h[3]))
 
 
