@@ -10,7 +10,9 @@ The table has ``SLOTS`` rows whatever the corpus, so it may always be broadcast;
 placement is one hash and one lookup a row, without a shuffle of the documents.
 
 Defined results: equal keys, in any number of rows, share a shard; a null key
-counts as the empty string. Other columns are not read.
+counts as the empty string. Texts, of whatever length, are not looked at. Columns
+other than the key pass through, whatever their names, except that one of the
+result's name is replaced. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from glyphwell.session import free_names
 SHARDS = 256
 #: A prime, well over 100 times the shards, so that shares are even.
 SLOTS = 65_537
+#: Rows that one task of ``write_shards`` writes.
+FILE_ROWS = 1_000_000
 
 
 def _number(text: str) -> int:
@@ -69,10 +73,19 @@ def place(df: DataFrame, key: str = "doc_id", shards: int = SHARDS, slots: int =
     return placed.select(*(F.col(f"`{c}`") for c in others), F.col(taken).alias(name))
 
 
-def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: int = SHARDS) -> None:
-    """``df`` as Parquet with a folder for each shard, in one shuffle."""
+def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: int = SHARDS, file_rows: int = FILE_ROWS) -> None:
+    """``df`` as Parquet with a folder for each shard, in one shuffle.
+
+    A shard's rows are dealt to as many tasks as the largest shard asks for at
+    ``file_rows`` rows each, by their place in the input, so neither a large shard
+    nor a key that holds a third of all rows is one task.
+    """
     placed = place(df, key, shards)
-    placed.repartition("shard").write.partitionBy("shard").parquet(path)
+    largest = placed.groupBy("shard").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    turn, *_ = free_names(placed, "turn")
+    files = -(-largest // file_rows)
+    dealt = placed.withColumn(turn, F.monotonically_increasing_id() % files)
+    dealt.repartition(shards * files, "shard", turn).drop(turn).write.partitionBy("shard").parquet(path)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
