@@ -132,11 +132,31 @@ def test_stages_keep_columns(spark, docs, labels, benchmark, tmp_path):
     """Each stage on hard rows and on no rows; all but the last return the columns of documents."""
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        for table in (docs, docs.where("false")):
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (docs, docs.where("false"), docs.limit(1).selectExpr("doc_id", "cast(null as string) text", "lang", "source", "n_chars")):
             out = stage(spark, table, str(tmp_path))
-            assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
-            assert out.count() <= table.count()
+            if name != "harmonic_packing":
+                assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+                assert out.count() <= table.count()
+            elif table is not docs:
+                assert out.count() == 0
+
+
+def test_stages_pass_extra_columns(spark, docs, labels, benchmark, tmp_path):
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = ["row_key", "row_key2", "spans", "key", "h1", "toxic", "quality", "turn", "n", "Again"]
+    wide = docs.select("*", *(F.lit(k).alias(c) for k, c in enumerate(names)))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, str(tmp_path))
+        assert out.columns == wide.columns and {tuple(r[c] for c in names) for r in out.collect()} == {tuple(range(len(names)))}
+
+
+def test_pipeline_of_no_documents(spark, docs, labels, benchmark, tmp_path):
+    docs.where("false").write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    benchmark.where("false").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_pipeline(spark, docs, labels, benchmark, tmp_path):
