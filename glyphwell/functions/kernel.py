@@ -91,7 +91,7 @@ def rearrange(s: str) -> str:
             stop, sign, extra = min(i + j + 1, len(t)), t[i], 0
             if sign == "ে" and at(i + j + 1) in ("া", "ৗ"):
                 sign, extra = "ো" if at(i + j + 1) == "া" else "ৌ", 1
-            t = t[:i] + t[i + 1 : stop] + [sign] + t[i + j + 1 + extra :]
+            t[i : i + j + 1 + extra] = [*t[i + 1 : stop], sign]  # in place: a new list at every sign would be quadratic
             i += j
         if at(i) == BINDU and at(i + 1) in POST:
             t[i], t[i + 1] = t[i + 1], t[i]
@@ -253,13 +253,16 @@ _HOLES = (0x81, 0x8D, 0x8F, 0x90, 0x9D)
 _CP1252 = "".join("�" if k in _HOLES else bytes([k]).decode("cp1252") for k in range(256))
 
 
+_BACK = {ord(c): k for k, c in enumerate(_CP1252) if c != "�"}
+_LATIN = {k: c for k, c in enumerate(_CP1252)}
+
+
 def from_windows_1252(data: bytes) -> str:
-    return "".join(_CP1252[b] for b in data)
+    return data.decode("latin-1").translate(_LATIN)
 
 
 def to_windows_1252(text: str) -> bytes:
-    back = {c: k for k, c in enumerate(_CP1252) if c != "�"}
-    return bytes(back.get(c, 63) for c in text)
+    return bytes(_BACK.get(ord(c), 63) for c in text)
 
 
 def decode(data: bytes) -> tuple[str, str]:

@@ -1,24 +1,29 @@
 """Word by word: legacy, not legacy or uncertain; and the conversion of what is legacy.
 
-Features and verdicts are columns of the distinct words, so each is judged once
-whatever its copies; the trial conversion runs only for words without a hard
-stop. Uncertain words look at the verdicts of six words on either side.
+Documents are converted where they are: a text without a sign of the legacy range
+has no legacy word and stays in native expressions, and any other is judged in one
+Arrow batch step with the word lists at hand, so nothing is shuffled. Word lists
+beyond ``BROADCAST_WORDS`` entries are joined to the distinct words instead.
+Features and verdicts of words, for diagnosis, are columns of the distinct words.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from glyphwell.functions import kernel, tables, text as X
+from glyphwell.functions import judge as J, kernel, tables, text as X
 
-CONTEXT = 6
+CONTEXT = J.CONTEXT
 #: Largest lexicon that is broadcast, in entries; a longer one is joined by shuffle.
 BROADCAST_WORDS = 2_000_000
 
 
 def lexicon(spark: SparkSession, bengali: list[str] | None = None, english: list[str] | None = None) -> DataFrame:
-    """``word``, ``lang``: the shipped stems and function words and any further lists."""
-    rows = [(w, "bn") for w in {*tables.words("stem"), *(bengali or [])}] + [(w, "en") for w in {*tables.words("guard"), *tables.words("marker"), *(english or [])}]
+    """``word``, ``lang``: the shipped stems and guarded words and any further lists."""
+    rows = [(w, "bn") for w in {*tables.words("stem"), *(bengali or [])}] + [(w, "en") for w in {*tables.words("guard"), *(english or [])}]
     df = spark.createDataFrame(rows, "word string, lang string")
     clean = F.when(F.col("lang") == "bn", X.clean_bengali("word")).otherwise(X.clean_english("word"))
     return df.select(clean.alias("word"), "lang").where("word is not null").distinct()
@@ -28,6 +33,27 @@ def _small(words: DataFrame) -> DataFrame:
     return F.broadcast(words) if words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS else words
 
 
+def judge_of(known: DataFrame) -> J.Judge | None:
+    """The judge of a lexicon, or None if that is too large to be at hand everywhere; its size is counted first."""
+    if known.limit(BROADCAST_WORDS + 1).count() > BROADCAST_WORDS:
+        return None
+    rows = known.collect()
+    return J.Judge(*(frozenset(r.word for r in rows if r.lang == lang) for lang in ("bn", "en")))
+
+
+def struct_column(f: Callable[[str], tuple], fields: dict[str, str]) -> Callable[[Column], Column]:
+    """``f`` over a string column in Arrow batches as a struct; null stays null. Equal values of a batch are worked out once."""
+    names = list(fields)
+
+    @F.pandas_udf(", ".join(f"{name} {kind}" for name, kind in fields.items()))
+    def run(values: pd.Series) -> pd.DataFrame:
+        known = {v: f(v) for v in values.dropna().unique()}
+        nothing = (None,) * len(names)
+        return pd.DataFrame([known.get(v, nothing) for v in values], columns=names, dtype=object)
+
+    return run
+
+
 def segments(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``at``, ``segment``, ``is_word`` of every run of words and gaps."""
     return docs.select(F.col(key), F.posexplode(X.segments(text)).alias("at", "segment")).withColumn("is_word", ~F.col("segment").rlike(f"^[{X.SPACE}]"))
@@ -40,7 +66,7 @@ def english_core() -> tuple[Column, Column]:
 
 
 def features(words: DataFrame, known: DataFrame) -> DataFrame:
-    """The features of the distinct strings of the column ``word``."""
+    """The features of the distinct strings of the column ``word``, in one pass over them."""
     word = F.col("word")
     core, stripped = english_core()
     english = _small(known.where("lang = 'en'").select(F.col("word").alias("bare"), F.lit(True).alias("listed")))
@@ -64,13 +90,12 @@ def features(words: DataFrame, known: DataFrame) -> DataFrame:
     is_english = F.when(F.col("stripped"), (F.col("core_letters") >= 4) & member).otherwise(member)
     stop = F.col("has_bengali") | F.col("inert") | F.col("english") | F.col("roman") | F.col("scripts") | F.col("conjunct")
     judged = listed.withColumn("english", is_english).drop("bare", "listed", "stripped", "core_letters").withColumn("hard_stop", stop)
-    # Only words without a hard stop go through Python.
-    tried = judged.where("not hard_stop").withColumn("converted", kernel.column(kernel.convert)("word"))
+    # Words with a hard stop are null to the conversion, which passes them over.
+    tried = judged.withColumn("converted", kernel.column(kernel.convert)(F.when(~F.col("hard_stop"), word)))
     bengali = _small(known.where("lang = 'bn'").select(F.col("word").alias("entry"), F.lit(True).alias("listed")))
     tried = tried.withColumn("entry", X.canonical(X.trim_to_bengali("converted"))).join(bengali, "entry", "left")
-    tried = tried.withColumn("is_entry", F.coalesce("listed", F.lit(False))).withColumn("plausible", X.well_formed("converted") & X.opens_like_bengali("converted")).drop("entry", "listed")
-    rest = judged.where("hard_stop").select("*", F.lit(None).cast("string").alias("converted"), F.lit(False).alias("is_entry"), F.lit(False).alias("plausible"))
-    return tried.unionByName(rest)
+    plausible = F.coalesce(X.well_formed("converted") & X.opens_like_bengali("converted"), F.lit(False))
+    return tried.withColumn("is_entry", F.coalesce("listed", F.lit(False))).withColumn("plausible", plausible).drop("entry", "listed")
 
 
 def rule_name() -> Column:
@@ -108,19 +133,83 @@ def with_context(rows: DataFrame, keys: list[str], order: str, alone: str = "alo
 
 
 def pieces(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every segment with its text after conversion, and whether that changed it."""
+    """``key``, ``at``, ``out``, ``changed``, ``is_word``: every segment with its text after conversion, and whether that changed it."""
+    if (judge := judge_of(known)) is None:
+        return pieces_by_join(docs, known, key, text)
+    return docs.select(key, F.posexplode(judged_pieces(judge)(F.col(text))).alias("at", "p")).select(key, "at", "p.segment", "p.out", "p.changed", "p.is_word")
+
+
+def judged_pieces(judge: J.Judge) -> Callable[[Column], Column]:
+    @F.pandas_udf("array<struct<segment string, out string, changed boolean, is_word boolean>>")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else [dict(zip(("segment", "out", "changed", "is_word"), p)) for p in judge.pieces(v)])
+
+    return run
+
+
+def pieces_by_join(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same for a lexicon of any size: words without a sign of the legacy range stay out of the join in documents that have none."""
     parts = segments(docs, key, text)
-    table = word_table(parts.where("is_word").select(F.col("segment").alias("word")), known)
-    judged = with_context(parts.where("is_word").join(table, F.col("segment") == F.col("word")), [key], "at")
-    changed = judged.select(key, "at", F.when(F.col("legacy"), F.col("converted")).otherwise(X.compose_vowels("segment")).alias("out"), F.col("legacy").alias("changed"), F.lit(True).alias("is_word"))
-    return changed.union(parts.where("not is_word").select(key, "at", F.col("segment"), F.lit(False), F.lit(False)))
+    some = docs.where(F.col(text).rlike(f"[{X.BIJOY}]"))
+    words = segments(some, key, text).where("is_word")
+    table = word_table(words.select(F.col("segment").alias("word")), known)
+    judged = with_context(words.join(table, F.col("segment") == F.col("word")), [key], "at")
+    changed = judged.select(key, "at", "segment", F.when(F.col("legacy"), F.col("converted")).otherwise(X.compose_vowels("segment")).alias("out"), F.col("legacy").alias("changed"), F.lit(True).alias("is_word"))
+    gaps = segments(some, key, text).where("not is_word")
+    rest = segments(docs.where(~F.col(text).rlike(f"[{X.BIJOY}]")), key, text)
+    same = lambda df: df.select(key, "at", "segment", F.when(F.col("is_word"), X.compose_vowels("segment")).otherwise(F.col("segment")), F.lit(False), "is_word")
+    return changed.union(same(gaps)).union(same(rest))
 
 
 def convert_documents(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``text``, ``converted``, ``untouched``: the documents with their legacy words in Unicode."""
+    """``key``, ``text``, ``converted``, ``untouched``: the documents with their legacy words in Unicode. A null or empty text has no words."""
+    value = F.coalesce(F.col(text), F.lit(""))
+    if (judge := judge_of(known)) is None:
+        return convert_by_join(docs, known, key, text)
+    some = value.rlike(f"[{X.BIJOY}]")
+    made = struct_column(judge.convert, {"text": "string", "converted": "bigint", "untouched": "bigint"})(F.when(some, value))
+    done = docs.select(F.col(key), value.alias("_text"), some.alias("_some"), made.alias("_made"))
+    plain = F.regexp_count("_text", F.lit(f"[^{X.SPACE}]+")).cast("bigint")
+    pick = lambda name, other: F.when(F.col("_some"), F.col(f"_made.{name}")).otherwise(other).alias(name)
+    return done.select(key, pick("text", X.compose_vowels("_text")), pick("converted", F.lit(0).cast("bigint")), pick("untouched", plain))
+
+
+def convert_by_join(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``convert_documents`` for a lexicon of any size; ``key`` names a document."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "out"))), lambda p: p["out"]), "")
     counts = [F.count_if("changed").alias("converted"), F.count_if(F.col("is_word") & ~F.col("changed")).alias("untouched")]
-    return pieces(docs, known, key, text).groupBy(key).agg(joined.alias("text"), *counts)
+    found = pieces_by_join(docs, known, key, text).groupBy(key).agg(joined.alias("text"), *counts)
+    empty = docs.where(F.coalesce(F.length(text), F.lit(0)) == 0).select(key, F.lit(""), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
+    return found.union(empty)
+
+
+def convert_by_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``text``, ``lines``, ``lines_converted``, ``dominant``: whole documents judged line by line. Nulls stay null."""
+    made = struct_column(J.convert_by_lines, {"text": "string", "lines": "bigint", "lines_converted": "bigint", "dominant": "string"})
+    return docs.select(key, made(F.col(text)).alias("_made")).select(key, "_made.*")
+
+
+def convert_if_legacy(df: DataFrame, text: str = "text") -> DataFrame:
+    """``detect_lines`` of the column and ``converted``: its conversion if it is legacy as a whole, else as it is."""
+    found = detect_lines(df, text)
+    legacy = F.col("encoding") == "legacy"
+    return found.withColumn("converted", F.when(legacy, kernel.column(kernel.convert)(F.when(legacy, F.col(text)))).otherwise(F.col(text)))
+
+
+def looks_legacy(text: X.C) -> Column:
+    """Whether a fragment may be legacy in a document that has legacy text."""
+
+    @F.pandas_udf("boolean")
+    def run(values: pd.Series) -> pd.Series:
+        known = {v: J.looks_legacy(v) for v in values.dropna().unique()}
+        return values.map(lambda v: None if v is None else known[v])
+
+    return run(X._c(text))
+
+
+def convert_counted(text: X.C) -> Column:
+    """A struct of the forced conversion ``text`` and of ``guesses``, the vowel signs chosen without evidence."""
+    return struct_column(kernel.convert_counted, {"text": "string", "guesses": "bigint"})(X._c(text))
 
 
 def detect(text: X.C) -> dict[str, Column]:
@@ -134,18 +223,33 @@ def detect(text: X.C) -> dict[str, Column]:
     return {"considered": considered, "bengali": bengali, "legacy_range": visible, "exotic": exotic, "dense": dense}
 
 
+def _makes_bengali(text: Column) -> Column:
+    """Whether the conversion of a line reads as Bengali, strictly; null stays null."""
+
+    @F.pandas_udf("boolean")
+    def run(values: pd.Series) -> pd.Series:
+        known = {v: J.makes_bengali(v, True) for v in values.dropna().unique()}
+        return pd.Series([known.get(v) for v in values], dtype=object)
+
+    return run(text)
+
+
 def detect_lines(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``encoding`` and ``confidence`` of its text; the strict trial conversion runs where density doesn't decide."""
+    """``df`` with ``encoding``, ``confidence``, ``bengali_ratio`` and ``legacy_ratio`` of its text.
+
+    The strict trial conversion runs where density doesn't decide.
+    """
     parts = detect(text)
     for name, value in parts.items():
         df = df.withColumn(f"_{name}", value)
     undecided = (F.col("_considered") > 0) & (F.col("_bengali") == 0) & ~F.col("_dense") & ~X.reads_as_english(text) & F.col(text).rlike(r"\p{IsAlphabetic}")
-    trial = F.when(undecided, kernel.column(kernel.convert)(F.when(undecided, F.col(text))))
-    df = df.withColumn("_trial", trial)
-    strict = F.coalesce(X.reads_as_bengali_strict("_trial") & X.plausible("_trial"), F.lit(False))
+    df = df.withColumn("_trial", _makes_bengali(F.when(undecided, F.col(text))))
+    strict = F.coalesce("_trial", F.lit(False))
     ratio = (F.col("_bengali") / F.col("_considered")).cast("float")
     legacy = (F.col("_dense") | strict) & (F.col("_bengali") * 50 < F.col("_considered"))
     encoding = F.when(F.col("_considered") == 0, "not_bangla").when(F.col("_bengali") * 100 > F.col("_considered") * 15, "unicode").when(legacy, "legacy").otherwise("not_bangla")
     share = (F.col("_exotic") / F.col("_considered")).cast("float")
     confidence = F.when(F.col("_considered") == 0, F.lit(1.0)).when(encoding == "unicode", ratio).when(encoding == "legacy", F.least(F.lit(1.0), share * 5)).otherwise(1 - share)
-    return df.withColumn("encoding", encoding).withColumn("confidence", confidence.cast("float")).drop(*(f"_{n}" for n in [*parts, "trial"]))
+    share_of = lambda name: F.when(F.col("_considered") == 0, 0.0).otherwise(F.col(name) / F.col("_considered")).cast("float")
+    df = df.withColumns({"encoding": encoding, "confidence": confidence.cast("float"), "bengali_ratio": share_of("_bengali"), "legacy_ratio": share_of("_legacy_range")})
+    return df.drop(*(f"_{n}" for n in [*parts, "trial"]))
