@@ -273,12 +273,17 @@ def kind_of(path: C) -> Column:
 def derived_name(path: C) -> Column:
     """Where a converted file goes: ``stem.unicode.ext``, old formats as their successors."""
     e = extension(path)
-    modern = F.when(e.isin("doc", "xls", "ppt"), F.concat(e, F.lit("x"))).otherwise(e)
+    written = F.regexp_extract(_c(path), r"\.([^./\\]+)$", 1)
+    modern = F.when(e.isin("doc", "xls", "ppt"), F.concat(e, F.lit("x"))).otherwise(written)
     return F.concat(F.regexp_replace(_c(path), r"\.[^./\\]+$", ""), F.lit(".unicode."), modern)
 
 
-_TEXT_PARTS = r"^(word/(document|comments|footnotes|endnotes|header\d*|footer\d*)\.xml|xl/(sharedStrings|worksheets/[^/]+|comments\d*|drawings/[^/]+|charts/[^/]+)(\.xml)?|ppt/(slides|notesSlides|comments|diagrams|charts)/[^/]+\.xml|word/(diagrams|charts)/[^/]+\.xml)$"
-_FONT_PARTS = r"^(word/(styles|stylesWithEffects|numbering|fontTable)\.xml|xl/styles\.xml|ppt/presentation\.xml|(word|xl|ppt)/theme/[^/]+\.xml|ppt/(slideMasters|slideLayouts|notesMasters|handoutMasters)/[^/]+\.xml)$"
+#: Parts with text: bodies, headers, notes and comments, strings, slides, and the models and drawings of diagrams and charts wherever they are.
+_TEXT_PARTS = r"^(?:word/(?:document|comments|(?:footnotes|endnotes|header|footer).*)\.xml|xl/(?:sharedStrings|worksheets/sheet.*)\.xml|ppt/(?:slides/slide|notesSlides/notesSlide).*\.xml|.*/(?:diagrams/(?:data|drawing)|charts/chart).*\.xml)$"
+#: Parts that only name fonts.
+_FONT_PARTS = r"^(?:word/(?:styles|stylesWithEffects|numbering|fontTable|theme/theme1)|xl/styles|ppt/presentation|ppt/(?:slideMasters|slideLayouts|theme)/.*)\.xml$"
+#: The part that lists the fonts that a presentation uses, as texts.
+METADATA_PART = "docProps/app.xml"
 
 
 def is_text_part(part: C) -> Column:
@@ -287,3 +292,7 @@ def is_text_part(part: C) -> Column:
 
 def is_font_part(part: C) -> Column:
     return _c(part).rlike(_FONT_PARTS)
+
+
+def is_metadata_font_part(part: C) -> Column:
+    return _c(part) == METADATA_PART

@@ -1,28 +1,37 @@
 """Office containers as tables of text runs, and back.
 
 A container is a ZIP of XML parts. ``read_runs`` lists files with ``binaryFile``,
-so listing and reading are distributed, and parses each in its task. A damaged or
+so listing and reading are distributed, and parses each in its task. ``convert_files``
+converts a file where it is: the runs of a part are joined, its words are judged
+in that context, every run gets back what stands in it, and only the bytes of text
+and font names that change are replaced. Nothing is shuffled. A damaged or
 oversized file gives one row with an ``error``; it never fails the job.
 """
 
 from __future__ import annotations
 
+import bisect
 import io
 import re
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass, fields
 from xml.parsers import expat
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from glyphwell.functions import kernel, tables, text as X
+from glyphwell.functions.judge import Judge
+from glyphwell.operators import classify
 
 ENTRIES, PART_BYTES, ARCHIVE_BYTES = 4096, 256 << 20, 512 << 20
 RUNS = "path string, part string, run_ix int, text string, font string, error string"
 _TEXT_PART, _FONT_PART = re.compile(X._TEXT_PARTS), re.compile(X._FONT_PARTS)
-_FONT_ELEMENTS, _FONT_NAMES = {"rFonts", "latin", "rFont", "font", "ea", "cs"}, ("ascii", "hAnsi", "cs", "typeface", "val")
+_FONT_ELEMENTS = frozenset("rFonts latin rFont name ea cs sym font altName".split())
+_FONT_NAMES = ("ascii", "hAnsi", "cs", "typeface", "val")
+_TEXT_ELEMENTS, _LINE_ENDS = frozenset(("t", "w:t", "a:t")), frozenset(("p", "tc", "br", "si"))
 
 
 def _local(name: str) -> str:
@@ -43,15 +52,15 @@ def runs_of_part(xml: bytes) -> list[tuple[str, str | None]]:
             font[0] = None
         elif local in ("rFonts", "latin", "rFont"):
             font[0] = next((v for k in _FONT_NAMES for n, v in given.items() if _local(n) == k and v), font[0])
-        elif name in ("t", "w:t", "a:t"):
+        elif name in _TEXT_ELEMENTS:
             inside.append([])
 
     def end(name: str) -> None:
         local = _local(name)
-        if name in ("t", "w:t", "a:t") and inside:
+        if name in _TEXT_ELEMENTS and inside:
             if value := "".join(inside.pop()):
                 out.append((value, font[0]))
-        elif local in ("p", "tc", "br", "si"):
+        elif local in _LINE_ENDS:
             out.append(("\n", None))
 
     def refuse(*_: object) -> None:
@@ -83,8 +92,13 @@ def parts(content: bytes) -> Iterator[tuple[str, bytes]]:
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """``path``, ``part``, ``run_ix``, ``text``, ``font``, ``error`` of the Office files under a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{docx,xlsx,pptx}").load(path)
-    return runs(files.select("path", "content").where(~F.col("path").rlike(r"(/~\$[^/]*|\.unicode\.[^/]+)$")))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return runs(files.where(office_files("path")).select("path", "content"))
+
+
+def office_files(path: X.C) -> Column:
+    """Files to convert, whatever the case of their extension: no lock files, and none that a conversion made."""
+    return (X.kind_of(path) == "office") & ~X._c(path).rlike(r"((^|/)~\$[^/]*|\.unicode\.[^/]+)$")
 
 
 def runs(files: DataFrame) -> DataFrame:
@@ -106,58 +120,238 @@ def _legacy_font(name: str) -> bool:
     return not low.startswith("+") and not any(f in low for f in tables.words("unicode_font")) and any(f in low for f in tables.words("font"))
 
 
-_ATTRIBUTE = re.compile(r'((?:[\w]+:)?(?:ascii|hAnsi|cs|eastAsia|typeface|val|name)=)"([^"]*)"')
+_TAG = re.compile(rb"""<[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>""")
+_ATTRIBUTE = re.compile(rb"""([\w:.-]+\s*=\s*)("[^"]*"|'[^']*')""")
+
+
+@dataclass
+class Summary:
+    """What a conversion did: words converted, words left, font names changed, words whose two-part vowels were composed."""
+
+    converted: int = 0
+    untouched: int = 0
+    fonts: int = 0
+    normalised: int = 0
 
+    def __iadd__(self, other: Summary) -> Summary:
+        for f in fields(self):
+            setattr(self, f.name, getattr(self, f.name) + getattr(other, f.name))
+        return self
 
-def rename_fonts(xml: str, font: str) -> tuple[str, int]:
-    """An XML part with every legacy font's name replaced in font attributes, and how many."""
-    n = 0
+    @property
+    def changed(self) -> bool:
+        return bool(self.converted or self.fonts or self.normalised)
 
-    def one(m: re.Match) -> str:
-        nonlocal n
-        if not _legacy_font(m.group(2)):
-            return m.group(0)
-        n += 1
-        return f'{m.group(1)}"{font}"'
 
-    return _ATTRIBUTE.sub(one, xml), n
+class _Edits:
+    """Replacements of bytes of a part; all other bytes stay as they are."""
 
+    def __init__(self, xml: bytes, font: str) -> None:
+        self.xml, self.font, self.out, self.fonts = xml, escape(font, {'"': "&quot;", "'": "&apos;"}).encode(), [], 0
 
-_T = re.compile(r"(<(?:w:|a:)?t(?:\s[^>]*)?>)([^<]*)(</(?:w:|a:)?t>)")
+    def tag(self, at: int) -> re.Match:
+        return _TAG.match(self.xml, at)
 
+    def replace(self, first: int, last: int, data: bytes) -> None:
+        self.out.append((first, last, data))
 
-def convert_files(files: DataFrame, convert=kernel.convert, judge=None, font: str = "Kalpurush") -> DataFrame:
-    """``path``, ``document``, ``fonts_changed``, ``error``: containers with their text parts rewritten.
+    def rename(self, at: int, given: dict) -> None:
+        """Replace the legacy fonts among the attributes of the element at ``at``."""
+        if not any(_legacy_font(v) for v in given.values()):
+            return
+        tag = self.tag(at)
+        self.fonts += 1
+        values = iter(given.values())  # as written, and in that order
+        for m in _ATTRIBUTE.finditer(self.xml, at, tag.end()):
+            if _legacy_font(next(values)):
+                self.replace(m.start(2) + 1, m.end(2) - 1, self.font)
 
-    ``judge(text)`` says whether a text node is legacy; by default a node of a run
-    in a legacy font is not asked for, and only dense legacy ranges are. Other
-    entries are copied as they are, in order.
+    def done(self) -> bytes:
+        parts, at = [], 0
+        for first, last, data in sorted(self.out):
+            parts += [self.xml[at:first], data]
+            at = last
+        return b"".join([*parts, self.xml[at:]])
+
+
+def _parser() -> expat.XMLParserType:
+    parser = expat.ParserCreate(encoding="utf-8")
+    parser.buffer_text, parser.ordered_attributes = True, False
+
+    def refuse(*_: object) -> None:
+        raise ValueError("the part declares entities")
+
+    parser.EntityDeclHandler = refuse
+    return parser
+
+
+def text_of_run(pieces: list[tuple[str, str, bool, bool]], starts: list[int], low: int, high: int) -> str:
+    """What stands in characters [low, high) after conversion: an unchanged piece in its part, a changed one whole where it begins."""
+    out, k = [], bisect.bisect_right(starts, low) - 1
+    while k < len(pieces) and starts[k] < high:
+        segment, new, changed, _ = pieces[k]
+        stop = starts[k] + len(segment)
+        if changed:
+            out.append(new if starts[k] >= low else "")
+        elif new != segment and low <= starts[k] and stop <= high:
+            out.append(new)  # composed: as long as it comes out
+        elif stop > low:
+            out.append(segment[max(low - starts[k], 0) : high - starts[k]])
+        k += 1
+    return "".join(out)
+
+
+def convert_part(xml: bytes, judge: Judge, font: str, only_read: bool = False) -> tuple[bytes, Summary]:
+    """A text part with its legacy words in Unicode and its legacy fonts renamed.
+
+    With ``only_read`` a run that keeps a word which its legacy font draws as
+    Bengali keeps the font as well.
     """
-    from xml.sax.saxutils import unescape
+    joined = "".join(t for t, _ in runs_of_part(xml))
+    pieces, starts, at, made = judge.pieces(joined), [], 0, Summary()
+    for segment, new, changed, word in pieces:
+        starts.append(at)
+        at += len(segment)
+        made.converted += changed
+        made.untouched += word and not changed
+        made.normalised += word and not changed and new != segment
+    edits, parser = _Edits(xml, font), _parser()
+    cursor, inside, content, run_fonts, kept = 0, False, [], [], False
 
-    legacy = judge or (lambda t: sum(bool(re.match(f"[{X.BIJOY}]", c)) for c in t) * 10 >= len(t.strip()) > 0)
+    def start(name: str, given: dict) -> None:
+        nonlocal inside, content, run_fonts, kept
+        place = parser.CurrentByteIndex
+        if name in _TEXT_ELEMENTS:
+            inside, content = True, [edits.tag(place).end()]
+        elif _local(name) in _FONT_ELEMENTS:
+            run_fonts.append((place, given))
+        elif _local(name) == "r":
+            flush()
+            run_fonts, kept = [], False
+
+    def flush() -> None:
+        nonlocal run_fonts
+        if not (only_read and kept):
+            for place, given in run_fonts:
+                edits.rename(place, given)
+        run_fonts = []
+
+    def end(name: str) -> None:
+        nonlocal cursor, inside, kept
+        if name in _TEXT_ELEMENTS:
+            if inside and (old := "".join(content[1:])):
+                new = text_of_run(pieces, starts, cursor, cursor + len(old))
+                if new != old:
+                    edits.replace(content[0], parser.CurrentByteIndex, escape(new).encode())
+                k = bisect.bisect_right(starts, cursor) - 1
+                while k < len(pieces) and starts[k] < cursor + len(old):
+                    kept |= pieces[k][3] and not pieces[k][2] and bool(re.search("[A-Za-z]", pieces[k][0]))
+                    k += 1
+                cursor += len(old)
+            inside = False
+        elif _local(name) in _LINE_ENDS:
+            cursor += 1
+        if _local(name) == "r":
+            flush()
+            kept = False
+
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    parser.CharacterDataHandler = lambda data: inside and content.append(data)
+    parser.Parse(xml, True)
+    flush()
+    made.fonts = edits.fonts
+    return edits.done(), made
+
+
+def rename_fonts(xml: bytes, font: str) -> tuple[bytes, Summary]:
+    """A part without text with its legacy fonts renamed, in the attributes of elements that name fonts."""
+    edits, parser = _Edits(xml, font), _parser()
+    parser.StartElementHandler = lambda name, given: edits.rename(parser.CurrentByteIndex, given) if _local(name) in _FONT_ELEMENTS else None
+    parser.Parse(xml, True)
+    return edits.done(), Summary(fonts=edits.fonts)
+
+
+def rename_listed_fonts(xml: bytes, font: str) -> tuple[bytes, Summary]:
+    """The properties part: texts that are exactly a legacy font's name are replaced."""
+    edits, parser, content = _Edits(xml, font), _parser(), []
+    known = set(tables.words("font"))
+
+    def flush() -> None:
+        if content and "".join(content[1:]).strip().lower() in known:
+            edits.replace(content[0], parser.CurrentByteIndex, escape(font).encode())
+            edits.fonts += 1
+        content.clear()
+
+    def text(data: str) -> None:
+        if not content:
+            content.append(parser.CurrentByteIndex)
+        content.append(data)
+
+    parser.buffer_text = False
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = lambda *_: flush(), lambda *_: flush(), text
+    parser.Parse(xml, True)
+    return edits.done(), Summary(fonts=edits.fonts)
+
+
+def convert_container(content: bytes, judge: Judge, font: str = "Kalpurush", only_read: bool = False) -> tuple[bytes, Summary]:
+    """A container with its text and font parts converted; parts in which nothing changes keep their bytes.
+
+    A worksheet without inline strings is not parsed: its text is among the shared strings.
+    """
+    out, total = io.BytesIO(), Summary()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name, data in parts(content):
+            made = Summary()
+            if name.startswith("xl/worksheets/sheet") and b"inlineStr" not in data:
+                new = data
+            elif _TEXT_PART.match(name):
+                new, made = convert_part(data, judge, font, only_read)
+            elif _FONT_PART.match(name):
+                new, made = rename_fonts(data, font)
+            elif name == X.METADATA_PART:
+                new, made = rename_listed_fonts(data, font)
+            else:
+                new = data
+            total += made
+            archive.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), new if made.changed else data, zipfile.ZIP_DEFLATED)
+    return out.getvalue(), total
+
+
+def settle(content: bytes, judge: Judge, font: str = "Kalpurush") -> tuple[bytes, Summary]:
+    """A made container converted until another conversion changes nothing, with all counts; words left are those of the last."""
+    total = Summary()
+    for _ in range(8):
+        content, made = convert_container(content, judge, font)
+        total.converted, total.fonts, total.normalised, total.untouched = total.converted + made.converted, total.fonts + made.fonts, total.normalised + made.normalised, made.untouched
+        if not made.changed:
+            break
+    return content, total
+
+
+CONVERTED = "path string, document binary, converted bigint, untouched bigint, fonts_changed bigint, normalised bigint, error string"
+
+
+def convert_files(files: DataFrame, known: DataFrame, font: str = "Kalpurush", only_read: bool = False) -> DataFrame:
+    """``path``, ``document``, the counts of ``Summary`` and ``error`` of each file of ``files`` (``path``, ``content``).
+
+    ``known`` is a lexicon of ``operators.classify``.
+    """
+    judge = classify.judge_of(known)
+    if judge is None:
+        raise ValueError(f"files are converted with word lists of at most {classify.BROADCAST_WORDS} entries")
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    out, fonts = io.BytesIO(), 0
-                    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-                        for name, data in parts(content):
-                            if _TEXT_PART.match(name) or _FONT_PART.match(name):
-                                xml, n = rename_fonts(data.decode("utf-8"), font)
-                                fonts += n
-                                if _TEXT_PART.match(name):
-                                    xml = _T.sub(lambda m: m.group(1) + escape(convert(v) if legacy(v := unescape(m.group(2))) else v) + m.group(3), xml)
-                                data = xml.encode("utf-8")
-                            archive.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data, zipfile.ZIP_DEFLATED)
-                    rows.append((path, out.getvalue(), fonts, None))
+                    document, made = convert_container(content, judge, font, only_read)
+                    rows.append((path, document, made.converted, made.untouched, made.fonts, made.normalised, None))
                 except Exception as e:  # a bad file is a row
-                    rows.append((path, None, 0, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "document", "fonts_changed", "error"])
+                    rows.append((path, None, 0, 0, 0, 0, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "document", "converted", "untouched", "fonts_changed", "normalised", "error"])
 
-    return files.select("path", "content").mapInPandas(rewrite, "path string, document binary, fonts_changed int, error string")
+    return files.select("path", "content").mapInPandas(rewrite, CONVERTED)
 
 
 _CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
@@ -202,3 +396,65 @@ def write_xlsx(text: str) -> bytes:
     rels = '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>'
     book = f'<?xml version="1.0" encoding="UTF-8"?><workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>'
     return _zip({"[Content_Types].xml": types, "_rels/.rels": _RELS.format(part=main), main: book, "xl/_rels/workbook.xml.rels": rels, sheet: f'<?xml version="1.0" encoding="UTF-8"?><worksheet {ns}><sheetData>{rows}</sheetData></worksheet>'})
+
+
+def slides_of(lines: list[str]) -> tuple[str, list[str]]:
+    """Title and body of a slide: the first line that isn't blank, and what follows it."""
+    at = next((k for k, line in enumerate(lines) if line.strip()), len(lines))
+    return (lines[at].strip(), lines[at + 1 :]) if at < len(lines) else ("", [])
+
+
+_OPEN = "http://schemas.openxmlformats.org"
+_DRAWING, _LINKS, _SLIDES = f"{_OPEN}/drawingml/2006/main", f"{_OPEN}/officeDocument/2006/relationships", f"{_OPEN}/presentationml/2006/main"
+_HEAD = '<?xml version="1.0" encoding="UTF-8"?>'
+
+
+def _links(*targets: tuple[str, str]) -> str:
+    every = "".join(f'<Relationship Id="rId{k}" Type="{_LINKS}/{kind}" Target="{target}"/>' for k, (kind, target) in enumerate(targets, 1))
+    return f'{_HEAD}<Relationships xmlns="{_OPEN}/package/2006/relationships">{every}</Relationships>'
+
+
+def _slide_part(element: str, shapes: str, rest: str, more: str = "") -> str:
+    group = '<p:nvGrpSpPr><p:cNvPr id="1" name=""/><p:cNvGrpSpPr/><p:nvPr/></p:nvGrpSpPr><p:grpSpPr/>'
+    return f'{_HEAD}<p:{element} xmlns:p="{_SLIDES}" xmlns:a="{_DRAWING}" xmlns:r="{_LINKS}"{more}><p:cSld><p:spTree>{group}{shapes}</p:spTree></p:cSld>{rest}</p:{element}>'
+
+
+def _box(number: int, top: int, height: int, size: int, lines: list[str]) -> str:
+    paragraphs = "".join(f'<a:p><a:r><a:rPr lang="bn-BD" sz="{size}"/><a:t>{xml_escape(line)}</a:t></a:r></a:p>' if line else "<a:p/>" for line in lines)
+    frame = f'<a:xfrm><a:off x="800000" y="{top}"/><a:ext cx="10500000" cy="{height}"/></a:xfrm><a:prstGeom prst="rect"/>'
+    return f'<p:sp><p:nvSpPr><p:cNvPr id="{number}" name="Text {number}"/><p:cNvSpPr txBox="1"/><p:nvPr/></p:nvSpPr><p:spPr>{frame}</p:spPr><p:txBody><a:bodyPr/>{paragraphs}</p:txBody></p:sp>'
+
+
+def _theme() -> str:
+    colours = "".join(f'<a:{n}><a:srgbClr val="{v}"/></a:{n}>' for n, v in zip("dk1 lt1 dk2 lt2 accent1 accent2 accent3 accent4 accent5 accent6 hlink folHlink".split(), "000000 FFFFFF 222222 EEEEEE 336699 993333 669933 CC9933 663399 339999 0000EE 551A8B".split()))
+    face = '<a:latin typeface="Arial"/><a:ea typeface=""/><a:cs typeface="Kalpurush"/>'
+    paint = '<a:solidFill><a:schemeClr val="phClr"/></a:solidFill>'
+    styles = f"<a:fillStyleLst>{paint * 3}</a:fillStyleLst><a:lnStyleLst>{f'<a:ln>{paint}</a:ln>' * 3}</a:lnStyleLst><a:effectStyleLst>{'<a:effectStyle><a:effectLst/></a:effectStyle>' * 3}</a:effectStyleLst><a:bgFillStyleLst>{paint * 3}</a:bgFillStyleLst>"
+    return f'{_HEAD}<a:theme xmlns:a="{_DRAWING}" name="plain"><a:themeElements><a:clrScheme name="plain">{colours}</a:clrScheme><a:fontScheme name="plain"><a:majorFont>{face}</a:majorFont><a:minorFont>{face}</a:minorFont></a:fontScheme><a:fmtScheme name="plain">{styles}</a:fmtScheme></a:themeElements></a:theme>'
+
+
+def write_pptx(slides: list[list[str]]) -> bytes:
+    """A minimal presentation: for each slide its lines, of which the first that isn't blank is the title."""
+    slides = slides or [[]]
+    kinds = {"ppt/presentation.xml": "presentation.main", "ppt/slideMasters/slideMaster1.xml": "slideMaster", "ppt/slideLayouts/slideLayout1.xml": "slideLayout"} | {f"ppt/slides/slide{n}.xml": "slide" for n in range(1, len(slides) + 1)}
+    declared = "".join(f'<Override PartName="/{part}" ContentType="application/vnd.openxmlformats-officedocument.presentationml.{kind}+xml"/>' for part, kind in kinds.items())
+    types = f'{_HEAD}<Types xmlns="{_OPEN}/package/2006/content-types"><Default Extension="xml" ContentType="application/xml"/><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/ppt/theme/theme1.xml" ContentType="application/vnd.openxmlformats-officedocument.theme+xml"/>{declared}</Types>'
+    numbers = "".join(f'<p:sldId id="{256 + n}" r:id="rId{3 + n}"/>' for n in range(len(slides)))
+    colours = " ".join(f'{a}="{b}"' for a, b in {"bg1": "lt1", "tx1": "dk1", "bg2": "lt2", "tx2": "dk2", "hlink": "hlink", "folHlink": "folHlink"}.items()) + "".join(f' accent{n}="accent{n}"' for n in range(1, 7))
+    entries = {
+        "[Content_Types].xml": types,
+        "_rels/.rels": _links(("officeDocument", "ppt/presentation.xml")),
+        "ppt/presentation.xml": f'{_HEAD}<p:presentation xmlns:p="{_SLIDES}" xmlns:r="{_LINKS}"><p:sldMasterIdLst><p:sldMasterId id="2147483700" r:id="rId1"/></p:sldMasterIdLst><p:sldIdLst>{numbers}</p:sldIdLst><p:notesSz cx="6858000" cy="9144000"/></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": _links(("slideMaster", "slideMasters/slideMaster1.xml"), ("theme", "theme/theme1.xml"), *(("slide", f"slides/slide{n}.xml") for n in range(1, len(slides) + 1))),
+        "ppt/slideMasters/slideMaster1.xml": _slide_part("sldMaster", "", f'<p:clrMap {colours}/><p:sldLayoutIdLst><p:sldLayoutId id="2147483701" r:id="rId1"/></p:sldLayoutIdLst>'),
+        "ppt/slideMasters/_rels/slideMaster1.xml.rels": _links(("slideLayout", "../slideLayouts/slideLayout1.xml"), ("theme", "../theme/theme1.xml")),
+        "ppt/slideLayouts/slideLayout1.xml": _slide_part("sldLayout", "", "", ' type="blank"'),
+        "ppt/slideLayouts/_rels/slideLayout1.xml.rels": _links(("slideMaster", "../slideMasters/slideMaster1.xml")),
+        "ppt/theme/theme1.xml": _theme(),
+    }
+    for n, lines in enumerate(slides, 1):
+        title, body = slides_of(lines)
+        shapes = (_box(2, 400000, 1300000, 3200, [title]) if title else "") + (_box(3, 1900000, 4300000, 1800, body) if body else "")
+        entries[f"ppt/slides/slide{n}.xml"] = _slide_part("sld", shapes, "")
+        entries[f"ppt/slides/_rels/slide{n}.xml.rels"] = _links(("slideLayout", "../slideLayouts/slideLayout1.xml"))
+    return _zip(entries)
