@@ -11,9 +11,11 @@ REPORT = ("in_hash", "path", "kind", "status", "converted", "untouched", "fonts"
 BUCKET = 4096
 
 
-def label_counts(tokens: DataFrame) -> DataFrame:
-    """Tokens of each label in either split and in all."""
-    return tokens.groupBy("label").agg(F.count_if(F.col("split") == "tune").alias("tune"), F.count_if(F.col("split") == "test").alias("test"), F.count("*").alias("total"))
+def label_counts(tokens: DataFrame, times: str | None = None) -> DataFrame:
+    """Tokens of each label in either split and in all; a row counts once, or ``times`` over."""
+    n = F.col(times) if times else F.lit(1).cast("bigint")
+    of = lambda split: F.sum(F.when(F.col("split") == split, n).otherwise(0)).alias(split)
+    return tokens.groupBy("label").agg(of("tune"), of("test"), F.sum(n).alias("total"))
 
 
 def last_by_hash(report: DataFrame, order: str) -> DataFrame:
@@ -114,8 +116,3 @@ def hash_sample(rows: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
 def size_tier(size: Column) -> Column:
     return F.when(size < 1_000_000, "text").when(size < 50_000_000, "mid").otherwise("media")
 
-
-def check_files(files: DataFrame) -> DataFrame:
-    """Invariants of converted texts ``before`` and ``after``: words, gaps, and whether another conversion changes anything."""
-    w = lambda c: F.size(X.words(c))
-    return files.select("*", (w("before") == w("after")).alias("words_kept"), (X.count_of("before", X.SPACE) == X.count_of("after", X.SPACE)).alias("gaps_kept"))
