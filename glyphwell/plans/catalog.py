@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from glyphwell.functions import kernel, tables, text as X
-from glyphwell.operators import classify, relations as R
+from glyphwell.operators import batch, classify, evaluate as E, relations as R, verify as V
+from glyphwell.session import spread
+from glyphwell.sources import office
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 # ---- the same classes and lists in SQL
@@ -48,7 +50,20 @@ def sql_each(expression: str, pairs) -> str:
 
 SP, BN, BJ, SG = (re2(x) for x in (X.SPACE, X.BENGALI, X.BIJOY, X.SIGNAL))
 ALL_WORDS = f"SELECT unnest(regexp_extract_all(text, '[^{SP}]+')) AS word FROM documents"
-WORDS = f"WITH words AS (SELECT DISTINCT word FROM ({ALL_WORDS}))"
+
+
+def _corner_words() -> list[str]:
+    """Words that no document has: each rule's key and result, alone, twice and between letters; stems in either spelling and encoding; signs and repairs."""
+    own = [s for t in ("pre", "main", "corrections", "post") for a, b in tables.rules(t) for s in (a, a + a, f"x{a}y", b, f"ক{b}")]
+    for stem in sorted(set(tables.words("stem"))):
+        own += [stem, kernel.decompose_nukta(stem), kernel.compose_nukta(stem), kernel.to_legacy(stem), stem.replace("\u09cb", "\u09c7\u09be").replace("\u09cc", "\u09c7\u09d7")]
+    own += ["x²", "H₂O", "²", "¹", "³", "(vi)", "iv.", "ক\u09c7\u09be", "ক\u09c7\u09d7", "নারীাদের", "অনিুযায়ী", "কিিি", "ক্্ক", "আা", "িক", "“কর্ম”", "a–b", "Kg©m~wP", "cÖwZ‡e`b", "¯^vÿi", "bvg", "SutonnyMJ", "don’t", "£40", "café", "…"]
+    return sorted({w for w in own if w and not re.search(f"[{X.SPACE}]", w)})
+
+
+CORNERS = _corner_words()
+_CORNER_SQL = f"SELECT unnest([{', '.join(f'({quoted(w)})' for w in CORNERS)}])"
+WORDS = f"WITH words AS (SELECT DISTINCT word FROM ({ALL_WORDS} UNION ALL {_CORNER_SQL}))"
 
 
 def sql_count(expression: str, members: str) -> str:
@@ -67,7 +82,9 @@ def all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.explode(X.words("text")).alias("word")).distinct()
+    """The distinct words of all documents, and the corner words."""
+    corners = spark.range(1).select(F.explode(F.array(*map(F.lit, CORNERS))).alias("word"))
+    return table(spark, sf_dir, "documents").select(F.explode(X.words("text")).alias("word")).union(corners).distinct()
 
 
 def bengali(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +112,7 @@ def tokens_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("segment_counts", f"SELECT doc_id, len(regexp_extract_all(text, '[{SP}]+|[^{SP}]+')) AS segments, len(regexp_extract_all(text, '[^{SP}]+')) AS words FROM documents")
 def segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.segments("text")).cast("bigint").alias("segments"), F.size(X.words("text")).cast("bigint").alias("words"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(f"[{X.SPACE}]+|[^{X.SPACE}]+")).cast("bigint").alias("segments"), F.regexp_count("text", F.lit(f"[^{X.SPACE}]+")).cast("bigint").alias("words"))
 
 
 @query("lossless_check", f"SELECT count(*) AS documents, count_if(array_to_string(regexp_extract_all(text, '[{SP}]+|[^{SP}]+'), '') = text)::BIGINT AS exact FROM documents")
@@ -140,7 +157,7 @@ def _collapsed(expression: str) -> str:
 
 
 per_word("doubles_collapsed", lambda: X.collapse_doubles("b"), _collapsed("b"), True)
-per_word("vowels_reunited", lambda: X.reunite(F.concat(F.col("b"), F.lit(" "), F.expr("substring(b, 2)"))), f"regexp_replace(b || ' ' || substring(b, 2, 1000), '([{re2(X.BASE)}]) ([{re2(X.KAR)}{re2(X.HALANT)}])', '\\1\\2 ', 'g')", True)
+per_word("vowels_reunited", lambda: X.reunite(F.concat(F.col("b"), F.lit(" "), F.expr("substring(b, 2)"))), f"regexp_replace(b || ' ' || substring(b, 2), '([{re2(X.BASE)}]) ([{re2(X.KAR)}{re2(X.HALANT)}])', '\\1\\2 ', 'g')", True)
 per_word("trimmed_to_bengali", lambda: X.trim_to_bengali("b"), f"regexp_replace(b, '^[^{BN}]+|[^{BN}]+$', '', 'g')", True)
 per_word("well_formed_flag", lambda: X.well_formed("b"), "NOT regexp_matches(b, '" + re2("|".join(X._FAULTS)) + "')", True)
 per_word("opens_like_bengali", lambda: X.opens_like_bengali("b"), f"regexp_extract(b, '[{BN}]') NOT IN ({', '.join(quoted(chr(c)) for c in (0x99E, 0x982, 0x983, 0x981, 0x9CE, 0x9DC, 0x9DD, 0x9DF))})", True)
@@ -163,11 +180,28 @@ per_word("screen_safe", lambda: X.screen_safe(F.concat(F.col("word"), F.lit("\t\
 # ---- lines
 
 
+def _corner_lines() -> list[str]:
+    """Lines that no document has: typography alone, legacy text of every density, Bengali, English with signs."""
+    stems = [s for s in tables.words("stem") if len(s) >= 3]
+    own = ["‘…’", "“ ” – —", "•", "Category “A”", "the plan of the “office” is done", "“a”", "¯^vÿi", "Awd†mi bvgt", "2026", "£ 40", "£40 ¥", "Müller café", "কর্মসূচি", "কর্ম and the plan", "ক the plan of the year is not over yet"]
+    for k in range(0, len(stems) - 4, 4):
+        words = stems[k : k + 4]
+        legacy = " ".join(map(kernel.to_legacy, words))
+        own += [" ".join(words), legacy, f"{legacy} and the rest of it", f"{words[0]} {legacy}"]
+    return sorted(set(own))
+
+
+CORNER_LINES = _corner_lines()
+_CORNER_LINES_SQL = f"SELECT unnest([{', '.join(f'({quoted(x)})' for x in CORNER_LINES)}]) AS line"
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.explode(X.lines("text")).alias("line")).distinct()
+    """The distinct lines of all documents, and the corner lines."""
+    corners = spark.range(1).select(F.explode(F.array(*map(F.lit, CORNER_LINES))).alias("line"))
+    return table(spark, sf_dir, "documents").select(F.explode(X.lines("text")).alias("line")).union(corners).distinct()
 
 
-_LINES = r"WITH lines AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\t\n]|[^\t\n]+')) AS line FROM documents)"
+_LINES = rf"WITH lines AS (SELECT DISTINCT line FROM (SELECT unnest(regexp_extract_all(text, '[\t\n]|[^\t\n]+')) AS line FROM documents UNION ALL {_CORNER_LINES_SQL}))"
 _MARKERS = ", ".join(map(quoted, sorted(set(tables.words("marker")))))
 _IS_ENGLISH = f"len(list_filter(regexp_split_to_array(line, '[^A-Za-z]+'), lambda w: length(w) >= 2 AND lower(w) IN ({_MARKERS}))) >= 2"
 _SEEN = f"regexp_replace(regexp_replace(line, '[{SP}]', '', 'g'), '[^{SG}]', '', 'g')"
@@ -197,25 +231,57 @@ def detect_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.detect_lines(_lines(spark, sf_dir), "line")
 
 
+_CONSIDERED = f"length(regexp_replace(line, '[{SP}0-9]', '', 'g'))"
+
+
+@query("detect_ratios", f"{_LINES} SELECT line, round(CASE WHEN n = 0 THEN 0 ELSE b / n END, 5) AS bengali_ratio, round(CASE WHEN n = 0 THEN 0 ELSE v / n END, 5) AS legacy_ratio FROM (SELECT line, {_CONSIDERED} AS n, {sql_count('line', BN)} AS b, length(regexp_replace(regexp_replace(line, '[{SP}0-9]', '', 'g'), '[^\x21-\x7E{SG}]', '', 'g')) AS v FROM lines)")
+def detect_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two ratios of the line detector."""
+    found = classify.detect_lines(_lines(spark, sf_dir), "line")
+    return found.select("line", *(F.round(F.col(c).cast("double"), 5).alias(c) for c in ("bengali_ratio", "legacy_ratio")))
+
+
+@query("convert_if_legacy")
+def convert_if_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.convert_if_legacy(_lines(spark, sf_dir), "line")
+
+
+@query("looks_legacy_lines")
+def looks_legacy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("line", classify.looks_legacy("line").alias("looks_legacy"))
+
+
+_IN_LINES = kernel.to_legacy("কর্মসূচি প্রতিবেদন এবং অফিসের")
+
+
+@query("convert_by_lines")
+def convert_by_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a legacy line, a short legacy cell and a Bengali line after its own."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(f"\n{_IN_LINES}\tbvg\nঅনিুযায়ী কর্মসূচি এবং আা")).alias("text"))
+    return classify.convert_by_lines(docs)
+
+
 @query("exotic_ratio_by_doc", f"SELECT doc_id, round({sql_count('text', SG)} / greatest(1, length(regexp_replace(text, '[{SP}0-9]', '', 'g'))), 6) AS share FROM documents")
 def exotic_ratio_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     considered = F.length(F.regexp_replace("text", f"[{X.SPACE}0-9]", ""))
     return table(spark, sf_dir, "documents").select("doc_id", F.round(X.count_of("text", X.SIGNAL) / F.greatest(F.lit(1), considered), 6).alias("share"))
 
 
-@query("html_is_not_legacy", f"SELECT page_id, regexp_matches(html, '[{BN}]') AS bengali, {sql_count('html', BJ)} AS exotic FROM pages")
+@query("html_is_not_legacy", f"SELECT page_id, regexp_matches(html || CASE WHEN page_id % 2 = 0 THEN 'কর্ম' ELSE '' END, '[{BN}]') AS bengali, {sql_count('html', BJ)} AS exotic FROM pages")
 def html_is_not_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.col("html").rlike(f"[{X.BENGALI}]").alias("bengali"), X.count_of("html", X.BIJOY).cast("bigint").alias("exotic"))
+    """Signs in pages; every second one gets a Bengali word, which the pages lack."""
+    more = F.concat("html", F.when(F.col("page_id") % 2 == 0, "কর্ম").otherwise(""))
+    return table(spark, sf_dir, "pages").select("page_id", more.rlike(f"[{X.BENGALI}]").alias("bengali"), X.count_of("html", X.BIJOY).cast("bigint").alias("exotic"))
 
 
 # ---- lexicon
 
-_GUARD = f"(SELECT unnest([{', '.join(map(quoted, sorted({*tables.words('guard'), *tables.words('marker')})))}]) AS entry)"
+_GUARD = f"(SELECT unnest([{', '.join(map(quoted, sorted(set(tables.words('guard')))))}]) AS entry)"
 _BARE = "CASE WHEN regexp_matches(word, '^[\\x00-\\x7F]*$') THEN regexp_replace(lower(word), '^[^a-z]+|[^a-z]+$', '', 'g') ELSE '' END"
 
 
 def _english(spark: SparkSession) -> DataFrame:
-    return F.broadcast(classify.lexicon(spark).where("lang = 'en'").select(F.col("word").alias("entry")))
+    return classify._small(classify.lexicon(spark).where("lang = 'en'").select(F.col("word").alias("entry")))
 
 
 @query("dictionary_semi_join", f"{WORDS} SELECT word FROM words WHERE {_BARE} IN {_GUARD}")
@@ -269,6 +335,29 @@ def convert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.convert_documents(table(spark, sf_dir, "documents"), classify.lexicon(spark))
 
 
+# Legacy words set into every document: the conversion has to give them back, and nothing else may change.
+_SET_IN = [(kernel.to_legacy(w), w) for w in ("কর্মসূচি", "প্রতিবেদন", "স্বাক্ষর", "উল্লেখ্য")]
+_LEXICON_WORDS = [w for _, w in _SET_IN] + ["নাম"]
+_AMONG, _BECOMES = (" ".join((pair[0][k], pair[1][k], plain, pair[2][k])) for k, plain, pair in ((0, "bvg", _SET_IN), (1, "নাম", _SET_IN)))
+
+
+@query("convert_set_in", f"SELECT doc_id, md5({quoted(_BECOMES)} || chr(10) || chr(10) || coalesce(text, '')) AS digest, 4::BIGINT AS converted FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[{BJ}]')")
+def convert_set_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four legacy words before each document without legacy signs: three proved by their signs, the plain one by its neighbours."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(~F.col("text").rlike(f"[{X.BIJOY}]"))
+    known = classify.lexicon(spark, bengali=_LEXICON_WORDS)
+    # Six words of digits keep the document's own first words out of reach.
+    apart = "1 2 3 4 5 6"
+    made = classify.convert_documents(docs.select("doc_id", F.concat(F.lit(f"{_AMONG}\n{apart}\n"), "text").alias("text")), known)
+    return made.select("doc_id", F.md5(F.replace("text", F.lit(f"\n{apart}\n"), F.lit("\n\n"))).alias("digest"), "converted")
+
+
+@query("convert_guesses")
+def convert_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forced conversions with the number of vowel signs chosen without evidence."""
+    return distinct_words(spark, sf_dir).select("word", classify.convert_counted("word").alias("c")).select("word", "c.*")
+
+
 @query("convert_forced")
 def convert_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_words(spark, sf_dir).withColumn("converted", kernel.column(kernel.convert)("word"))
@@ -291,7 +380,7 @@ def topk_round_trip_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- labels and evaluation; a document's source stands for its font
 
-_FONTS = ("SutonnyMJ", "Arial", "Bijoy Classic", "SutonnyOMJ", "+mn-lt", "Times New Roman", "SutonnyEMJ")
+_FONTS = ("SutonnyMJ", "Arial", "Bijoy", "SutonnyOMJ", "+mn-lt", "Times New Roman", "SutonnyEMJ")
 _FONT_SQL = f"CASE WHEN doc_id % 9 < {len(_FONTS)} THEN [{', '.join(map(quoted, _FONTS))}][1 + doc_id % 9] END"
 
 
@@ -305,10 +394,17 @@ def _font_of(doc_id: str = "doc_id") -> Column:
     return F.get(F.array(*map(F.lit, _FONTS)), (F.col(doc_id) % 9).cast("int"))
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = all_words(spark, sf_dir).withColumn("font", _font_of())
+def _fonted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id``, ``split``, ``font``, ``word``, ``at``: what depends on the document is worked out before its words."""
     path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".docx"))
-    return tokens.select("doc_id", X.split_parity(path).alias("split"), X.token_label("word", "font").alias("label"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.split_parity(path).alias("split"), _font_of().alias("font"), "text")
+    return docs.select("doc_id", "split", "font", F.posexplode(X.words("text")).alias("at", "word"))
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``split``, ``label``, ``n``: each distinct word of a split and font is judged once."""
+    counted = _fonted(spark, sf_dir).groupBy("split", "font", "word").agg(F.count("*").alias("n"))
+    return counted.select("split", X.token_label("word", "font").alias("label"), "n")
 
 
 _SPLIT = "CASE WHEN (1 + len(list_filter(regexp_extract_all(hex(encode('docs/' || doc_id || '.docx')), '..'), lambda d: regexp_matches(d, '[13579BDF]$')))) % 2 = 0 THEN 'tune' ELSE 'test' END"
@@ -326,26 +422,22 @@ def split_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("label_pivot", f"{_LABELLED} SELECT label, count_if(split = 'tune')::BIGINT AS tune, count_if(split = 'test')::BIGINT AS test, count(*) AS total FROM labelled GROUP BY label")
 def label_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.label_counts(labelled(spark, sf_dir))
+    return R.label_counts(labelled(spark, sf_dir), "n")
 
 
 @query("label_rollup", f"{_LABELLED} SELECT split, label, count(*) AS n FROM labelled GROUP BY ROLLUP (split, label)")
 def label_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labelled(spark, sf_dir).rollup("split", "label").agg(F.count("*").alias("n"))
+    return labelled(spark, sf_dir).rollup("split", "label").agg(F.sum("n").alias("n"))
 
 
 @query("docs_with_legacy", f"{_LABELLED} SELECT split, count(DISTINCT doc_id) AS docs FROM labelled WHERE label IN ('legacy', 'legacy_ascii') GROUP BY split")
 def docs_with_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labelled(spark, sf_dir).where("label in ('legacy', 'legacy_ascii')").groupBy("split").agg(F.countDistinct("doc_id").alias("docs"))
+    tokens = _fonted(spark, sf_dir).where(X.is_legacy_font("font")).select("doc_id", "split", X.token_label("word", "font").alias("label"))
+    return tokens.where("label in ('legacy', 'legacy_ascii')").groupBy("split").agg(F.countDistinct("doc_id").alias("docs"))
 
 
-@query("font_match", f"SELECT doc_id, {_FONT_SQL} AS font, {sql_legacy(f'({_FONT_SQL})')} AS legacy, lower({_FONT_SQL}) IN ({', '.join(map(quoted, tables.words('font')))}) AS exact FROM documents WHERE doc_id % 9 < {len(_FONTS)}")
+@query("font_match", f"SELECT doc_id, font, CASE WHEN font IS NOT NULL THEN {sql_legacy('font')} END AS legacy, lower(font) IN ({', '.join(map(quoted, tables.words('font')))}) AS exact FROM (SELECT doc_id, {_FONT_SQL} AS font FROM documents)")
 def font_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", _font_of().alias("font")).where("font is not null").select("*", X.is_legacy_font("font").alias("legacy"), X.is_exactly_legacy_font("font").alias("exact"))
-
-
-@query("font_match_all", f"SELECT doc_id, font, CASE WHEN font IS NOT NULL THEN {sql_legacy('font')} END AS legacy, lower(font) IN ({', '.join(map(quoted, tables.words('font')))}) AS exact FROM (SELECT doc_id, {_FONT_SQL} AS font FROM documents)")
-def font_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; without a font, both verdicts are null."""
     fonts = table(spark, sf_dir, "documents").select("doc_id", _font_of().alias("font"))
     named = F.col("font").isNotNull()
@@ -376,59 +468,23 @@ def confusion_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.confusion(rows, "truth", "guess").select("tp", "fp", "fn", "tn", *(F.round(c, 6).alias(c) for c in ("recall", "precision", "f1", "fpr")))
 
 
-@query("levenshtein_pairs", "SELECT a.item_id AS a, b.item_id AS b, levenshtein(left(regexp_replace(a.text, '[^ -~]', '', 'g'), 40), left(regexp_replace(b.text, '[^ -~]', '', 'g'), 40)) AS distance FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id")
-def levenshtein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 40).alias("t"))
-    a, b = items.select(F.col("item_id").alias("a"), F.col("t").alias("ta")), items.select(F.col("item_id").alias("b"), F.col("t").alias("tb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.levenshtein("ta", "tb").cast("bigint").alias("distance"))
-
-
-@query("levenshtein_whole_texts")
-def levenshtein_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the whole texts in code points, as the reference counts; DuckDB's levenshtein counts bytes, so there is no SQL."""
+@query("levenshtein_next")
+def levenshtein_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each item's whole text and the next one's, in code points; DuckDB's levenshtein counts bytes, so there is no SQL."""
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    a, b = items.select(F.col("item_id").alias("a"), F.col("text").alias("ta")), items.select(F.col("item_id").alias("b"), F.col("text").alias("tb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.levenshtein("ta", "tb").cast("bigint").alias("distance"))
+    after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next"))
+    return items.join(after, "item_id").select("item_id", F.levenshtein("text", "next").cast("bigint").alias("distance"))
 
 
 # ---- reports; the rows of documents and labels stand for files
 
-_OLD = "SELECT md5(doc_id::VARCHAR) AS in_hash, 'ok' AS status, md5(lang) AS out_hash, n_chars AS converted, 0::BIGINT AS untouched, 1::BIGINT AS fonts FROM documents WHERE doc_id % 7 <> 0"
-_NEW = "SELECT md5(doc_id::VARCHAR) AS in_hash, CASE WHEN doc_id % 11 = 0 THEN 'FAILED' ELSE 'ok' END AS status, md5(lang) AS out_hash, n_chars AS converted, 0::BIGINT AS untouched, 1::BIGINT AS fonts FROM documents WHERE doc_id % 5 <> 0"
-
-
-def _report(spark: SparkSession, sf_dir: str, skip: int, failed: bool) -> DataFrame:
-    status = F.when((F.col("doc_id") % 11 == 0) & F.lit(failed), "FAILED").otherwise("ok")
-    docs = table(spark, sf_dir, "documents").where(F.col("doc_id") % skip != 0)
-    return docs.select(F.md5(F.col("doc_id").cast("string")).alias("in_hash"), "lang", status.alias("status"), F.md5("lang").alias("out_hash"), F.col("n_chars").alias("converted"), F.lit(0).cast("bigint").alias("untouched"), F.lit(1).cast("bigint").alias("fonts"), "doc_id")
-
-
-@query(
-    "report_full_outer",
-    f"""SELECT change, count(*) AS n FROM (SELECT CASE WHEN b.in_hash IS NULL THEN 'vanished' WHEN a.in_hash IS NULL THEN 'new' WHEN (a.status, a.out_hash, a.converted, a.untouched, a.fonts) IS NOT DISTINCT FROM (b.status, b.out_hash, b.converted, b.untouched, b.fonts) THEN 'identical' ELSE 'differing' END AS change
-    FROM ({_OLD}) a FULL OUTER JOIN ({_NEW}) b ON a.in_hash = b.in_hash) GROUP BY change""",
-)
-def report_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.compare_reports(_report(spark, sf_dir, 7, False), _report(spark, sf_dir, 5, True)).groupBy("change").agg(F.count("*").alias("n"))
-
-
-@query("resume_anti_join", f"SELECT count(*) AS left_to_do FROM ({_OLD}) a WHERE in_hash NOT IN (SELECT in_hash FROM ({_NEW}))")
-def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.not_yet_verified(_report(spark, sf_dir, 7, False), _report(spark, sf_dir, 5, True)).agg(F.count("*").alias("left_to_do"))
-
-
 @query("last_row_per_hash", "SELECT in_hash, max(doc_id) AS doc_id FROM (SELECT md5(lang || source) AS in_hash, doc_id FROM documents) GROUP BY in_hash")
 def last_row_per_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.md5(F.concat("lang", "source")).alias("in_hash"), "doc_id")
     return R.last_by_hash(rows, "doc_id")
 
 
-@query("tally_kind_status", f"SELECT out_hash AS kind, status, count(*) AS n, sum(converted)::BIGINT AS converted FROM ({_NEW}) GROUP BY ALL")
-def tally_kind_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _report(spark, sf_dir, 5, True).groupBy(F.col("out_hash").alias("kind"), "status").agg(F.count("*").alias("n"), F.sum("converted").alias("converted"))
-
-
-# The same without filters on ids: documents are the files, labels the rows of a second report.
+# Documents are the files, labels the rows of a second report.
 
 _FILES = "SELECT md5(doc_id::VARCHAR) AS in_hash, 'ok' AS status, 1::BIGINT AS converted FROM documents"
 _CHECKED = "SELECT md5(doc_id::VARCHAR) AS in_hash, CASE WHEN toxic = 1 THEN 'FAILED' ELSE 'ok' END AS status, quality::BIGINT AS converted FROM labels"
@@ -448,21 +504,21 @@ def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "report_documents_labels",
+    "report_full_outer",
     f"""SELECT change, count(*) AS n FROM (SELECT CASE WHEN b.in_hash IS NULL THEN 'vanished' WHEN a.in_hash IS NULL THEN 'new' WHEN (a.status, a.converted) IS NOT DISTINCT FROM (b.status, b.converted) THEN 'identical' ELSE 'differing' END AS change
     FROM ({_FILES}) a FULL OUTER JOIN ({_CHECKED}) b ON a.in_hash = b.in_hash) GROUP BY change""",
 )
-def report_documents_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def report_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.compare_reports(_files(spark, sf_dir), _checked(spark, sf_dir)).groupBy("change").agg(F.count("*").alias("n"))
 
 
-@query("resume_all_documents", f"SELECT count(*) AS left_to_do FROM ({_FILES}) a ANTI JOIN ({_CHECKED}) b ON a.in_hash = b.in_hash")
-def resume_all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("resume_anti_join", f"SELECT count(*) AS left_to_do FROM ({_FILES}) a ANTI JOIN ({_CHECKED}) b ON a.in_hash = b.in_hash")
+def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.not_yet_verified(_files(spark, sf_dir), _checked(spark, sf_dir)).agg(F.count("*").alias("left_to_do"))
 
 
-@query("tally_all_documents", "SELECT md5(lang) AS kind, CASE WHEN doc_id % 11 = 0 THEN 'FAILED' ELSE 'ok' END AS status, count(*) AS n, sum(n_chars)::BIGINT AS converted FROM documents GROUP BY ALL")
-def tally_all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("tally_kind_status", "SELECT md5(lang) AS kind, CASE WHEN doc_id % 11 = 0 THEN 'FAILED' ELSE 'ok' END AS status, count(*) AS n, sum(n_chars)::BIGINT AS converted FROM documents GROUP BY ALL")
+def tally_kind_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("doc_id") % 11 == 0, "FAILED").otherwise("ok")
     return table(spark, sf_dir, "documents").groupBy(F.md5("lang").alias("kind"), status.alias("status")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("converted"))
 
@@ -473,14 +529,14 @@ def dedup_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.first_by_hash(table(spark, sf_dir, "documents").select(F.md5("text").alias("hash"), path.alias("path")))
 
 
-_PATHS = "SELECT '/in/' || source || '/' || (doc_id // 3) || CASE doc_id % 3 WHEN 0 THEN '.doc' WHEN 1 THEN '.DOCX' ELSE '.pptx' END AS path FROM documents"
+_PATHS = "SELECT '/in/' || (doc_id // 3) || CASE doc_id % 3 WHEN 0 THEN '.doc' WHEN 1 THEN '.docx' ELSE '.PPTX' END AS path FROM documents"
 _EXT = r"lower(regexp_extract(path, '\.([^./\\]+)$', 1))"
-_DEST = rf"regexp_replace(path, '\.[^./\\]+$', '') || '.unicode.' || {_EXT} || CASE WHEN {_EXT} IN ('doc', 'xls', 'ppt') THEN 'x' ELSE '' END"
+_DEST = rf"regexp_replace(path, '\.[^./\\]+$', '') || '.unicode.' || CASE WHEN {_EXT} IN ('doc', 'xls', 'ppt') THEN {_EXT} || 'x' ELSE regexp_extract(path, '\.([^./\\]+)$', 1) END"
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.when(F.col("doc_id") % 3 == 0, ".doc").when(F.col("doc_id") % 3 == 1, ".DOCX").otherwise(".pptx")
-    return table(spark, sf_dir, "documents").select(F.concat(F.lit("/in/"), F.col("source"), F.lit("/"), F.expr("doc_id div 3").cast("string"), e).alias("path"))
+    e = F.when(F.col("doc_id") % 3 == 0, ".doc").when(F.col("doc_id") % 3 == 1, ".docx").otherwise(".PPTX")
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("/in/"), F.expr("doc_id div 3").cast("string"), e).alias("path"))
 
 
 @query("duplicate_destinations", f"SELECT {_DEST} AS destination, count(*) AS inputs FROM ({_PATHS}) GROUP BY 1 HAVING count(*) > 1")
@@ -564,3 +620,182 @@ def span_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = F.col("segment").startswith("th")
     pieces = _tokens(spark, sf_dir).select("doc_id", "start", "stop", changed.alias("changed"), F.when(changed, F.concat(F.upper("segment"), F.lit("!"))).otherwise(F.col("segment")).alias("text"))
     return R.text_of_runs(pieces, _runs(spark, sf_dir).drop("font"), ["doc_id"]).select("doc_id", "start", F.col("out").alias("text"))
+
+
+# ---- files: names, and containers made of documents
+
+_PARTS = """word/document.xml word/comments.xml word/commentsExtended.xml word/footnotes.xml word/footnotes2.xml word/endnotes.xml word/header1.xml word/header.xml word/footer12.xml word/footer1.xml.rels
+    word/styles.xml word/stylesWithEffects.xml word/numbering.xml word/fontTable.xml word/theme/theme1.xml word/theme/theme2.xml word/settings.xml word/media/image1.png word/diagrams/data1.xml word/diagrams/drawing2.xml word/diagrams/layout1.xml word/charts/chart1.xml word/charts/style1.xml
+    xl/sharedStrings.xml xl/styles.xml xl/comments1.xml xl/workbook.xml xl/worksheets/sheet1.xml xl/worksheets/sheet1.bin xl/worksheets/_rels/sheet1.xml.rels xl/drawings/drawing1.xml xl/drawings/vmlDrawing1.vml xl/diagrams/data1.xml xl/charts/chart7.xml xl/charts/colors1.xml xl/theme/theme1.xml
+    ppt/slides/slide1.xml ppt/slides/slide23.xml ppt/slides/_rels/slide1.xml.rels ppt/notesSlides/notesSlide1.xml ppt/comments/comment1.xml ppt/presentation.xml ppt/slideMasters/slideMaster1.xml ppt/slideMasters/_rels/slideMaster1.xml.rels ppt/slideLayouts/slideLayout4.xml ppt/theme/theme3.xml ppt/notesMasters/notesMaster1.xml ppt/handoutMasters/handoutMaster1.xml ppt/diagrams/data3.xml
+    docProps/app.xml docProps/core.xml [Content_Types].xml _rels/.rels xl/ xl/worksheets/sheet diagrams/data1.xml""".split()
+_PARTS_SQL = f"(SELECT unnest([{', '.join(map(quoted, _PARTS))}]) AS part)"
+_ENDS_XML = "part LIKE '%.xml'"
+_STARTS = lambda *names: "(" + " OR ".join(f"starts_with(part, '{n}')" for n in names) + ")"
+_HOLDS = lambda *names: "(" + " OR ".join(f"contains(part, '{n}')" for n in names) + ")"
+
+
+@query(
+    "office_parts",
+    f"""SELECT part, part IN ('word/document.xml', 'xl/sharedStrings.xml', 'word/comments.xml') OR ({_ENDS_XML} AND ({_STARTS('xl/worksheets/sheet', 'ppt/slides/slide', 'ppt/notesSlides/notesSlide', 'word/footnotes', 'word/endnotes', 'word/header', 'word/footer')} OR {_HOLDS('/diagrams/data', '/diagrams/drawing', '/charts/chart')})) AS text,
+    part IN ('xl/styles.xml', 'word/styles.xml', 'word/stylesWithEffects.xml', 'word/numbering.xml', 'word/fontTable.xml', 'ppt/presentation.xml', 'word/theme/theme1.xml') OR ({_ENDS_XML} AND {_STARTS('ppt/slideMasters/', 'ppt/slideLayouts/', 'ppt/theme/')}) AS fonts, part = 'docProps/app.xml' AS listed FROM {_PARTS_SQL}""",
+)
+def office_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which parts of a container hold text, fonts, or the list of fonts."""
+    parts = spark.range(1).select(F.explode(F.array(*map(F.lit, _PARTS))).alias("part"))
+    return parts.select("part", X.is_text_part("part").alias("text"), X.is_font_part("part").alias("fonts"), X.is_metadata_font_part("part").alias("listed"))
+
+
+def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path``, ``content``: a document's first line of legacy words and then its own text, as a container."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(f"{_AMONG}\n1 2 3 4 5 6\n"), F.coalesce("text", F.lit(""))).alias("text"))
+
+    @F.pandas_udf("binary")
+    def docx(values):
+        return values.map(office.write_docx)
+
+    return docs.select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), docx("text").alias("content"))
+
+
+@query("office_rewrite", f"SELECT '/in/' || doc_id || '.docx' AS path, 4::BIGINT AS converted, md5({quoted(_BECOMES)}) AS first_line, 0::BIGINT AS fonts_changed, NULL::VARCHAR AS error FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[{BJ}]')")
+def office_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers converted in context and read again: the legacy line has become Bengali. Documents with legacy signs of their own are converted too, but not reported."""
+    plain = table(spark, sf_dir, "documents").where(~F.coalesce("text", F.lit("")).rlike(f"[{X.BIJOY}]")).select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"))
+    made = office.convert_files(_containers(spark, sf_dir), classify.lexicon(spark, bengali=_LEXICON_WORDS))
+    lines = office.runs(made.select("path", F.col("document").alias("content"))).where("run_ix = 0").select("path", F.md5("text").alias("first_line"))
+    return made.join(lines, "path").join(plain, "path", "left_semi").select("path", "converted", "first_line", "fonts_changed", "error")
+
+
+@query("office_runs", r"SELECT '/in/' || doc_id || '.docx' AS path, md5(string_agg(line, chr(10) ORDER BY k)) AS words FROM (SELECT doc_id, generate_subscripts(ls, 1) AS k, unnest(ls) AS line FROM (SELECT doc_id, regexp_split_to_array(replace(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f\x{FFFE}\x{FFFF}]', '', 'g'), chr(9), ''), chr(10)) AS ls FROM documents)) GROUP BY doc_id")
+def office_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of containers made of documents, joined again: the documents without tabs and control characters."""
+
+    @F.pandas_udf("binary")
+    def docx(values):
+        return values.map(office.write_docx)
+
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), docx(F.coalesce("text", F.lit(""))).alias("content"))
+    found = office.runs(docs).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_ix", "text"))), lambda r: r["text"]), "").alias("t"))
+    return found.select("path", F.md5(F.regexp_replace("t", r"\n\z", "")).alias("words"))
+
+
+@query("verify_files")
+def verify_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check of every container made of a document."""
+    return V.check_files(_containers(spark, sf_dir), classify.lexicon(spark, bengali=_LEXICON_WORDS)).select("path", "kind", "status", "converted", "fonts", "detail")
+
+
+@query("content_fingerprints", "SELECT source AS path, sha256(string_agg('e' || doc_id || chr(0) || sha256(text) || chr(10), '' ORDER BY 'e' || doc_id || chr(0) || sha256(text) || chr(10))) AS fingerprint FROM documents WHERE text IS NOT NULL GROUP BY source")
+def content_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source as a container whose entries are its documents."""
+    entries = table(spark, sf_dir, "documents").where("text is not null").select(F.col("source").alias("path"), F.concat(F.lit("e"), F.col("doc_id").cast("string")).alias("name"), F.sha2("text", 256).alias("sha"))
+    return V.fingerprints(entries)
+
+
+@query("entries_match", "SELECT coalesce(a.source, b.source) AS path, count_if(a.doc_id IS NULL OR b.doc_id IS NULL) = 0 AS same_names, count_if(a.doc_id IS NULL OR b.doc_id IS NULL OR a.sha <> b.sha) = 0 AS all_identical FROM (SELECT source, doc_id, sha256(text) AS sha FROM documents WHERE text IS NOT NULL) a FULL OUTER JOIN (SELECT source, doc_id, sha256(trim(text, ' ')) AS sha FROM documents JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id) WHERE text IS NOT NULL) b ON a.source = b.source AND a.doc_id = b.doc_id GROUP BY 1")
+def entries_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as containers: all documents against the labelled ones, trimmed."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.col("source").alias("path"), F.col("doc_id").cast("string").alias("name"), "text")
+    known = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    after = docs.join(known, "doc_id").select("path", "name", F.sha2(F.expr("trim(BOTH ' ' FROM text)"), 256).alias("sha"))
+    return V.entries_match(docs.select("path", "name", F.sha2("text", 256).alias("sha")), after)
+
+
+_REASON = f"CASE WHEN {_EXT} IN ('docx', 'xlsx', 'pptx') THEN NULL WHEN {_EXT} IN ('doc', 'xls', 'ppt') THEN 'old Office formats are not read' WHEN {_EXT} = 'json' THEN 'a data file, in which text is not told from keys' WHEN {_EXT} = 'pdf' THEN 'pages are drawn, and their text has no order to convert' ELSE 'not a kind that is converted' END"
+_MORE_PATHS = "SELECT '/in/' || source || '/' || CASE WHEN doc_id % 5 = 0 THEN '~$' ELSE '' END || (doc_id // 3) || CASE WHEN doc_id % 7 = 0 THEN '.unicode' ELSE '' END || ['.doc', '.docx', '.PPTX', '.json', '.Pdf', '.txt', ''][1 + doc_id % 7] AS path FROM documents"
+
+
+def _more_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of every kind, lock files and results among them."""
+    i = F.col("doc_id")
+    end = F.get(F.array(*map(F.lit, (".doc", ".docx", ".PPTX", ".json", ".Pdf", ".txt", ""))), (i % 7).cast("int"))
+    lock, ours = F.when(i % 5 == 0, "~$").otherwise(""), F.when(i % 7 == 0, ".unicode").otherwise("")
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("/in/"), "source", F.lit("/"), lock, F.expr("doc_id div 3").cast("string"), ours, end).alias("path"))
+
+
+@query("batch_plan", f"""WITH p AS (SELECT path, CASE WHEN {_EXT} IN ('docx', 'xlsx', 'pptx', 'doc', 'xls', 'ppt') THEN '/out/' || regexp_extract({_DEST}, '([^/]*)$', 1) END AS destination, {_REASON} AS reason FROM ({_MORE_PATHS}))
+    SELECT path, destination, coalesce(reason, CASE WHEN destination IS NOT NULL AND count(*) OVER (PARTITION BY destination) > 1 THEN 'another file would be written to the same name' END) AS reason FROM p""")
+def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Destinations in one folder, and refusals."""
+    return batch.plan(_more_paths(spark, sf_dir), folder="/out")
+
+
+@query("discover_counts", f"SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, {_EXT} AS extension, count_if(NOT s) AS found, count_if(s) AS skipped FROM (SELECT path, starts_with(regexp_extract(path, '([^/]*)$', 1), '~$') OR contains(regexp_extract(path, '([^/]*)$', 1), '.unicode.') AS s FROM ({_MORE_PATHS})) GROUP BY 1, 2 HAVING {_EXT} IN ('docx', 'xlsx', 'pptx', 'doc', 'xls', 'ppt') OR count_if(s) > 0".replace(f"HAVING {_EXT}", "HAVING extension"))
+def discover_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch.discover(_more_paths(spark, sf_dir))
+
+
+# ---- evaluation over the stems and the corner words
+
+
+def _stem_words(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, CORNERS))).alias("word"))
+
+
+@query("round_trip_accuracy")
+def round_trip_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the Bengali that all words read as, and of the corner words."""
+    return E.round_trip_accuracy(bengali(spark, sf_dir).select(F.col("b").alias("word")).union(_stem_words(spark)))
+
+
+@query("grid_accuracy")
+def grid_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consonants and conjuncts with every sign; both lists are of fixed length."""
+    letters = [chr(c) for c in (*range(0x995, 0x9A9), *range(0x9AA, 0x9B1), 0x9B2, *range(0x9B6, 0x9BA))] + ["ক্ষ", "ন্ত", "স্ত", "ম্প", "ক্র", "প্র", "্যক"]
+    lists = [spark.createDataFrame([(w,) for w in words], "word string") for words in (letters, ["", *_MARKS[:8], "ং", "ঃ"])]
+    return E.grid_accuracy(E.grid(*lists))
+
+
+@query("misspellings_preserved")
+def misspellings_preserved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.preserved(bengali(spark, sf_dir).select(F.col("b").alias("word")))
+
+
+def _label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``split``, ``doc``, ``pos``, ``label``, ``font``, ``token``: every word, with four legacy ones before each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(_AMONG + " "), F.coalesce("text", F.lit(""))).alias("text"))
+    path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".docx"))
+    words = docs.select(X.split_parity(path).alias("split"), F.col("doc_id").alias("doc"), F.posexplode(X.words("text")).alias("pos", "token"))
+    font = F.when(F.col("pos") < 4, "SutonnyMJ").otherwise("Arial")
+    return words.select("split", "doc", "pos", X.token_label("token", font).alias("label"), font.alias("font"), "token")
+
+
+_TOKENS_LABELLED = f"""WITH t AS (SELECT {_SPLIT} AS split, doc_id, unnest(ws) AS token, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, regexp_extract_all({quoted(_AMONG + ' ')} || coalesce(text, ''), '[^{SP}]+') AS ws FROM documents)),
+    l AS (SELECT *, {_LABEL.replace('word', 'token')} AS label FROM (SELECT *, CASE WHEN pos <= 4 THEN 'SutonnyMJ' ELSE 'Arial' END AS font FROM t))"""
+
+
+@query("label_table_counts", f"{_TOKENS_LABELLED} SELECT label, count_if(split = 'tune')::BIGINT AS tune, count_if(split = 'test')::BIGINT AS test, count(*) AS total FROM l GROUP BY label")
+def label_table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.label_counts(_label_table(spark, sf_dir))
+
+
+@query("detection")
+def detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.detection(_label_table(spark, sf_dir))
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.judged_in_context(_label_table(spark, sf_dir), classify.lexicon(spark, bengali=_LEXICON_WORDS))
+
+
+@query("detection_with_context")
+def detection_with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.detection_with_context(_judged(spark, sf_dir))
+
+
+@query("refused_by")
+def refused_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.refused_by(_judged(spark, sf_dir))
+
+
+@query("detection_gates")
+def detection_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.gates(detection_with_context(spark, sf_dir))
+
+
+@query("dictionary_hits", f"""{_TOKENS_LABELLED} SELECT count(*) AS tokens, count(*) AS in_wide, count_if(token <> 'bvg') AS in_narrow, 1.0::DOUBLE AS wide_rate, round(count_if(token <> 'bvg') / count(*), 6) AS narrow_rate FROM l WHERE split = 'test' AND label = 'legacy'""")
+def dictionary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legacy tokens are those set in; all are in the wide list. Rates are of the test split."""
+    wide, narrow = ([(w,) for w in words] for words in (_LEXICON_WORDS, _LEXICON_WORDS[:4]))
+    found = E.dictionary_hits(_label_table(spark, sf_dir), *(spark.createDataFrame(rows, "word string") for rows in (wide, narrow)))
+    return found.select("tokens", "in_wide", "in_narrow", F.round("wide_rate", 6).alias("wide_rate"), F.round("narrow_rate", 6).alias("narrow_rate"))

@@ -49,6 +49,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder on whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in as many partitions as there are cores, for costly expressions; one with as many of its own is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Column names like ``wanted`` that clash with none of ``df``, in any case."""
     taken = {c.lower() for c in df.columns}
