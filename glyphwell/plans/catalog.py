@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from glyphwell.functions import kernel, tables, text as X
 from glyphwell.operators import batch, classify, evaluate as E, relations as R, verify as V
 from glyphwell.session import spread
-from glyphwell.sources import office
+from glyphwell.sources import office, text as text_source
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -166,6 +166,12 @@ _STEMS = [X._py_decompose(s) for s in tables.words("stem") if len(s) >= 3]
 _HITS = f"(SELECT count(*) FROM (SELECT unnest([{', '.join(map(quoted, _STEMS))}]) AS s) WHERE contains({sql_each('b', [(b, a) for a, b in X.NUKTA])}, s))"
 per_word("stem_hits", lambda: X.stem_hits("b").cast("bigint"), _HITS, True)
 per_word("reads_bengali_strict", lambda: X.reads_as_bengali_strict("b"), f"{_HITS} >= 2 AND {_HITS} * 60 >= {sql_count('b', BN)}", True)
+per_word("reads_bengali", lambda: X.reads_as_bengali("b"), f"{_HITS} >= 1", True)
+_IN = lambda c, members: f"contains({quoted(members)}, {c})"
+_KARS = "".join(m for m in _MARKS if m != X.HALANT)
+_C, _P = "substring(b, i, 1)", "substring(b, i - 1, 1)"
+_FAULT_COUNT = f"len(list_filter(range(1, length(b) + 1), lambda i: ((i = 1) AND ({_IN(_C, _KARS)} OR {_C} = '{X.HALANT}')) OR ((i > 1) AND (({_IN(_C, _KARS)} AND ({_IN(_P, _KARS)} OR {_P} = '{X.HALANT}')) OR ({_C} = '{X.HALANT}' AND {_IN(_P, _KARS)})))))"
+per_word("plausible_words", lambda: X.plausible("b"), f"{sql_count('b', BN)} < 8 OR {_FAULT_COUNT} * 25 < {sql_count('b', BN)}", True)
 per_word("roman_markers", lambda: X.roman_marker("word"), r"regexp_matches(word, '^\(*[ivxlcdmIVXLCDM]{1,4}[).:]$')")
 per_word("sub_superscript_words", lambda: X.sub_or_superscript("word"), f"regexp_matches(word, '[{re2(X.SCRIPTS)}]')")
 per_word("lone_conjunct", lambda: X.lone_conjunct("word"), "word IN ('¹', '²', '³')")
@@ -274,6 +280,13 @@ def html_is_not_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", more.rlike(f"[{X.BENGALI}]").alias("bengali"), X.count_of("html", X.BIJOY).cast("bigint").alias("exotic"))
 
 
+@query("decode_bytes", "SELECT doc_id, md5(text) AS digest, CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN 'windows-1252' ELSE 'utf-8' END AS encoding FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F\\x{A0}-\\x{FF}]*$')")
+def decode_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one-byte characters, as such bytes, decoded again."""
+    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F\u00A0-\u00FF]*$"))
+    return text_source.decode(docs.select("doc_id", F.encode("text", "ISO-8859-1").alias("content"))).select("doc_id", F.md5("text").alias("digest"), "encoding")
+
+
 # ---- lexicon
 
 _GUARD = f"(SELECT unnest([{', '.join(map(quoted, sorted(set(tables.words('guard')))))}]) AS entry)"

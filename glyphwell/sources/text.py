@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glyphwell.functions import kernel, text as X
@@ -13,7 +16,7 @@ def decode(df: DataFrame, content: str = "content") -> DataFrame:
     """``df`` with ``text`` and ``encoding``: UTF-8 where it is valid, else Windows-1252, of which five bytes have no character."""
 
     @F.pandas_udf("string")
-    def western(values):
+    def western(values: pd.Series) -> pd.Series:
         return values.map(lambda b: None if b is None else kernel.from_windows_1252(bytes(b)))
 
     raw = F.col(content)
@@ -37,3 +40,19 @@ def word_list(spark: SparkSession, path: str, lang: str) -> DataFrame:
     """The distinct entries of word lists, one a line, as they are looked up."""
     word = X.clean_bengali("value") if lang == "bn" else X.clean_english("value")
     return spark.read.text(path).select(word.alias("word"), F.lit(lang).alias("lang")).where("word is not null").distinct()
+
+
+def write_labelled(tokens: DataFrame, path: str) -> None:
+    """Labelled tokens as ``read_labelled`` reads them; every file begins with the header."""
+    value = F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in LABELLED))
+
+    def headed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ["\t".join(LABELLED)]})
+        yield from batches
+
+    tokens.select(value.alias("value")).mapInPandas(headed, "value string").write.text(path)
+
+
+def write_dictionary(words: DataFrame, path: str) -> None:
+    """The entries (``word``, ``lang``) once each, in the order of their bytes within a file and over all files."""
+    words.select("word", "lang").distinct().orderBy("lang", "word").write.parquet(path)

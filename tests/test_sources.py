@@ -184,6 +184,28 @@ def test_labelled_and_word_lists(spark, tmp_path):
         sources.read_labelled(spark, f"{tmp_path}/w.txt")
 
 
+def test_labelled_tokens_and_dictionaries_are_written(spark, tmp_path):
+    rows = [("tune", 1, "legacy", "SutonnyMJ", "a\tb"), ("test", 2, "inert", None, '7"')]
+    tokens = spark.createDataFrame(rows, "split string, doc bigint, label string, font string, token string").repartition(2)
+    sources.write_labelled(tokens, f"{tmp_path}/labelled")
+    assert sorted(tuple(r) for r in sources.read_labelled(spark, f"{tmp_path}/labelled").collect()) == sorted(rows)
+    (tmp_path / "w.txt").write_text("b\nno\nno\nan\nখগ\nকখ\n")
+    sources.write_dictionary(sources.word_list(spark, f"{tmp_path}/w.txt", "en").union(sources.word_list(spark, f"{tmp_path}/w.txt", "bn")), f"{tmp_path}/words")
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/words").orderBy("lang", "word").collect()] == [("কখ", "bn"), ("খগ", "bn"), ("an", "en"), ("no", "en")]
+
+
+def test_stream_keeps_each_hash_once(spark, tmp_path):
+    rows = [("a", "2026-01-01 00:00:00"), ("b", "2026-01-01 00:01:00"), ("a", "2026-01-01 00:02:00")]
+    spark.createDataFrame(rows, "in_hash string, ts string").selectExpr("in_hash", "cast(ts as timestamp) ts").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("in_hash string, ts timestamp").parquet(f"{tmp_path}/in")
+    q = streams.once_by_hash(stream, "ts").writeStream.format("memory").queryName("once").option("checkpointLocation", f"{tmp_path}/state").start()
+    try:
+        q.processAllAvailable()
+        assert sorted(r.in_hash for r in spark.table("once").collect()) == ["a", "b"]
+    finally:
+        q.stop()
+
+
 def test_words_in_context_are_converted(spark):
     known = classify.lexicon(spark, bengali=["কর্মসূচি", "নাম", "প্রতিবেদন"])
     rows = [(1, "Kg©m~wP bvg cÖwZ†e`b"), (2, "bvg bvg bvg bvg bvg"), (3, "the plan, \t of  Kg©m~wP\nand (vi) x² done"), (4, ""), (5, None), (6, "কর্মসূচি stays")]
