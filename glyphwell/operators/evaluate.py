@@ -77,10 +77,11 @@ def dictionary_hits(tokens: DataFrame, wide: DataFrame, narrow: DataFrame, split
     return sums.withColumns({"wide_rate": _ratio(F.col("in_wide"), F.col("tokens")), "narrow_rate": _ratio(F.col("in_narrow"), F.col("tokens"))})
 
 
-def _rates(judged: DataFrame) -> DataFrame:
-    """Recall, precision, F1 and false positives of ``flagged`` by ``label``; pure ASCII legacy stands apart."""
+def _rates(judged: DataFrame, times: str | None = None) -> DataFrame:
+    """Recall, precision, F1 and false positives of ``flagged`` by ``label``; pure ASCII legacy stands apart. A row counts once, or ``times`` over."""
+    n = F.col(times) if times else F.lit(1).cast("bigint")
     legacy, others = F.col("label") == "legacy", F.col("label").isin(*_MUST_NOT)
-    count = lambda c, name: F.count_if(c).alias(name)
+    count = lambda c, name: F.coalesce(F.sum(F.when(c, n)), F.lit(0)).cast("bigint").alias(name)
     sums = judged.agg(
         count(legacy & F.col("flagged"), "hits"), count(legacy, "legacy"), count(others & F.col("flagged"), "wrong"), count(others, "others"),
         count((F.col("label") == "english") & F.col("flagged"), "wrong_english"), count(F.col("label") == "english", "english"),
@@ -102,7 +103,7 @@ def detection(tokens: DataFrame, split: str = "test") -> DataFrame:
     """The line detector on single tokens (``split``, ``label``, ``token``), each distinct one judged once."""
     counted = _of_split(tokens, split).groupBy("label", "token").agg(F.count("*").alias("n"))
     judged = classify.detect_lines(counted, "token").withColumn("flagged", F.col("encoding") == "legacy")
-    return _rates(judged.select("label", "flagged", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))))
+    return _rates(judged, "n")
 
 
 def judged_in_context(tokens: DataFrame, known: DataFrame, split: str = "test") -> DataFrame:
