@@ -21,5 +21,6 @@ ORACLES: dict[str, str] = {
     "op1_embedding_near_dedup": embedding.ORACLE,
     "embedding_copies_of_all": embedding.COPIES_ORACLE,
     "op4_harmonic_packing": packing.ORACLE,
+    "op6_benchmark_decontamination": decontaminate.ORACLE,
     "op8_sharding": sharding.ORACLE,
 }

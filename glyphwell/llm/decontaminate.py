@@ -233,3 +233,28 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, leas
 
 def query(spark, sf_dir: str) -> DataFrame:
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+_GAP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\x{A0}-\x{BF}\x{2000}-\x{207F}\x{3000}-\x{303F}"
+
+
+def _grams(table: str, key: str) -> str:
+    """Runs of WINDOW words of a table's texts with their first and last code points."""
+    return f"""SELECT {key}, gram, start, stop FROM (
+        SELECT {key}, start, string_agg(w, ' ') OVER ahead AS gram, max(stop) OVER ahead AS stop, count(*) OVER ahead AS n FROM (
+            SELECT {key}, k, lower(s) AS w, s, stop - length(s) AS start, stop FROM (
+                SELECT {key}, k, s, sum(length(s)) OVER (PARTITION BY {key} ORDER BY k)::BIGINT AS stop FROM (
+                    SELECT {key}, unnest(ss) AS s, generate_subscripts(ss, 1) AS k FROM (
+                        SELECT {key}, regexp_extract_all(text, '[^{_GAP}]+|[{_GAP}]+') AS ss FROM {table})))
+            WHERE regexp_matches(s, '^[^{_GAP}]'))
+        WINDOW ahead AS (PARTITION BY {key} ORDER BY k ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)) WHERE n = {WINDOW}"""
+
+
+#: For benchmarks of which no item has fewer than WINDOW words, and ids that name one document each.
+ORACLE = f"""
+    WITH docs AS ({_grams("documents", "doc_id")}), items AS ({_grams("benchmark", "item_id")}),
+    hits AS (SELECT DISTINCT doc_id, item_id, docs.start, docs.stop FROM docs JOIN items USING (gram)),
+    marked AS (SELECT *, CASE WHEN start < max(stop) OVER (PARTITION BY doc_id, item_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM hits),
+    runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, item_id ORDER BY start) AS run FROM marked)
+    SELECT doc_id, item_id, min(start) AS start, max(stop) AS stop FROM runs GROUP BY doc_id, item_id, run
+"""
