@@ -765,16 +765,16 @@ def misspellings_preserved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``split``, ``doc``, ``pos``, ``label``, ``font``, ``token``: every word, with four legacy ones before each document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(_AMONG + " "), F.coalesce("text", F.lit(""))).alias("text"))
+    """``split``, ``doc``, ``pos``, ``label``, ``font``, ``token``: every word, with four legacy ones before each document, and one of plain letters that no list has."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(_AMONG + " Avwg "), F.coalesce("text", F.lit(""))).alias("text"))
     path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".docx"))
     words = docs.select(X.split_parity(path).alias("split"), F.col("doc_id").alias("doc"), F.posexplode(X.words("text")).alias("pos", "token"))
-    font = F.when(F.col("pos") < 4, "SutonnyMJ").otherwise("Arial")
+    font = F.when(F.col("pos") < 5, "SutonnyMJ").otherwise("Arial")
     return words.select("split", "doc", "pos", X.token_label("token", font).alias("label"), font.alias("font"), "token")
 
 
-_TOKENS_LABELLED = f"""WITH t AS (SELECT {_SPLIT} AS split, doc_id, unnest(ws) AS token, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, regexp_extract_all({quoted(_AMONG + ' ')} || coalesce(text, ''), '[^{SP}]+') AS ws FROM documents)),
-    l AS (SELECT *, {_LABEL.replace('word', 'token')} AS label FROM (SELECT *, CASE WHEN pos <= 4 THEN 'SutonnyMJ' ELSE 'Arial' END AS font FROM t))"""
+_TOKENS_LABELLED = f"""WITH t AS (SELECT {_SPLIT} AS split, doc_id, unnest(ws) AS token, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, regexp_extract_all({quoted(_AMONG + ' Avwg ')} || coalesce(text, ''), '[^{SP}]+') AS ws FROM documents)),
+    l AS (SELECT *, {_LABEL.replace('word', 'token')} AS label FROM (SELECT *, CASE WHEN pos <= 5 THEN 'SutonnyMJ' ELSE 'Arial' END AS font FROM t))"""
 
 
 @query("label_table_counts", f"{_TOKENS_LABELLED} SELECT label, count_if(split = 'tune')::BIGINT AS tune, count_if(split = 'test')::BIGINT AS test, count(*) AS total FROM l GROUP BY label")
@@ -806,9 +806,9 @@ def detection_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.gates(detection_with_context(spark, sf_dir))
 
 
-@query("dictionary_hits", f"""{_TOKENS_LABELLED} SELECT count(*) AS tokens, count(*) AS in_wide, count_if(token <> 'bvg') AS in_narrow, 1.0::DOUBLE AS wide_rate, round(count_if(token <> 'bvg') / count(*), 6) AS narrow_rate FROM l WHERE split = 'test' AND label = 'legacy'""")
+@query("dictionary_hits", f"""{_TOKENS_LABELLED} SELECT count(*) AS tokens, count(*) AS in_wide, count_if(token <> {quoted(_SET_IN[0][0])}) AS in_narrow, 1.0::DOUBLE AS wide_rate, round(count_if(token <> {quoted(_SET_IN[0][0])}) / count(*), 6) AS narrow_rate FROM l WHERE split = 'test' AND label = 'legacy'""")
 def dictionary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Legacy tokens are those set in; all are in the wide list. Rates are of the test split."""
-    wide, narrow = ([(w,) for w in words] for words in (_LEXICON_WORDS, _LEXICON_WORDS[:4]))
+    """Legacy tokens are those set in; all are in the wide list, and the narrow one lacks the first. Rates are of the test split."""
+    wide, narrow = ([(w,) for w in words] for words in (_LEXICON_WORDS, _LEXICON_WORDS[1:4]))
     found = E.dictionary_hits(_label_table(spark, sf_dir), *(spark.createDataFrame(rows, "word string") for rows in (wide, narrow)))
     return found.select("tokens", "in_wide", "in_narrow", F.round("wide_rate", 6).alias("wide_rate"), F.round("narrow_rate", 6).alias("narrow_rate"))
