@@ -112,7 +112,11 @@ def tokens_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("segment_counts", f"SELECT doc_id, len(regexp_extract_all(text, '[{SP}]+|[^{SP}]+')) AS segments, len(regexp_extract_all(text, '[^{SP}]+')) AS words FROM documents")
 def segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(f"[{X.SPACE}]+|[^{X.SPACE}]+")).cast("bigint").alias("segments"), F.regexp_count("text", F.lit(f"[^{X.SPACE}]+")).cast("bigint").alias("words"))
+    """Words are counted once; runs of words and gaps take turns, so the rest follows from the two ends."""
+    counted = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_count("text", F.lit(f"[^{X.SPACE}]+")).cast("bigint").alias("words"))
+    ends = [F.col("text").rlike(p).cast("bigint") for p in (f"^[{X.SPACE}]", rf"[{X.SPACE}]\z")]
+    segments = F.when(F.col("words") == 0, (F.length("text") > 0).cast("bigint")).otherwise(2 * F.col("words") - 1 + ends[0] + ends[1])
+    return counted.select("doc_id", segments.alias("segments"), "words")
 
 
 @query("lossless_check", f"SELECT count(*) AS documents, count_if(array_to_string(regexp_extract_all(text, '[{SP}]+|[^{SP}]+'), '') = text)::BIGINT AS exact FROM documents")
