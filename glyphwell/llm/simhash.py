@@ -10,8 +10,9 @@ in at most ``FULL_RADIUS``. The search for such pairs is exact:
   Dynamic programming picks the radii of least total cost; the number of
   candidates of a part at each radius is counted over all fingerprints, by a
   Walsh-Hadamard transform of the histogram of the part's values.
-* Fingerprints are sent to sub-cubes of a part's values (and to the neighbouring
-  sub-cubes within its radius). The rows that each sub-cube gets are counted
+* Fingerprints are sent to sub-cubes of a part's values, and to half of the
+  neighbouring sub-cubes within its radius: of two neighbours a hash names the one
+  that the other's rows visit. The rows that each sub-cube gets are counted
   beforehand; one of over ``2 * TASK_ROWS`` is dealt to blocks by a hash, and its
   tasks are the pairs of blocks, so no task outgrows that, however the values
   crowd. Each task probes its rows, verifies the candidates, and hands on only a
@@ -54,7 +55,7 @@ from glyphwell.session import cut, free_names
 RADIUS = 10
 FULL_RADIUS = 36
 #: Rows that one probing task should hold.
-TASK_ROWS = 200_000
+TASK_ROWS = 100_000
 #: Cost of a row sent to a sub-cube, in verified candidates.
 ROW_COST = 60.0
 #: Rows of one value that are held against leaders first, and rounds of leaders.
@@ -181,6 +182,13 @@ def _cube(width: int, cubes: int) -> int:
     return min(width, max(0, cubes))
 
 
+def visits(home: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether rows of one sub-cube go to another: of a pair only those of one, by a hash of both, and all to their own."""
+    low, high = np.minimum(home, to).astype(np.uint64), np.maximum(home, to).astype(np.uint64)
+    turn = (kernels.mix64(low << np.uint64(32) | high) & np.uint64(1)).astype(bool)
+    return (home == to) | ((home < to) == turn)
+
+
 def _ball(width: int, radius: int) -> int:
     return sum(comb(width, k) for k in range(radius + 1))
 
@@ -242,17 +250,18 @@ def plan(prints: DataFrame, radius: int = RADIUS, task_rows: int = TASK_ROWS) ->
 
     found = prints.select("f0").mapInArrow(values, "p int, v int, c bigint").groupBy("p", "v").agg(F.sum("c").alias("c")).toArrow()
     p_of, v_of, c_of = (found.column(k).to_numpy() for k in ("p", "v", "c"))
-    cubes = max(0, int(np.ceil(np.log2(max(1.0, n * 6 / task_rows)))))
+    cubes = max(0, int(np.ceil(np.log2(max(1.0, n * 4 / task_rows)))))
     cost = []
     for p, bits in enumerate(parts):
         mine = p_of == p
         pairs = candidate_counts(v_of[mine], c_of[mine], len(bits), max(total + m - 1, 0)) / 2
         most = min(len(bits), total + m - 1)
-        cost.append([0.0] + [pairs[t] + n * (ROW_COST * _ball(_cube(len(bits), cubes), t) + 4 * _ball(len(bits), t)) for t in range(most + 1)])
+        cost.append([0.0] + [pairs[t] + n * (ROW_COST * (1 + _ball(_cube(len(bits), cubes), t)) / 2 + 4 * _ball(len(bits), t)) for t in range(most + 1)])
     radii, cube_bits, blocks = allocate(cost, total), tuple(_cube(len(bits), cubes) for bits in parts), []
     for p, (radius_p, cube) in enumerate(zip(radii, cube_bits)):
         at_home = np.bincount(v_of[p_of == p] & ((1 << cube) - 1), weights=c_of[p_of == p], minlength=1 << cube)
-        got = sum(at_home[np.arange(1 << cube) ^ mask] for mask in _masks(cube, radius_p)) if radius_p >= 0 else at_home
+        every = np.arange(1 << cube)
+        got = sum(at_home[every ^ mask] * visits(every ^ mask, every) for mask in _masks(cube, radius_p).astype(np.int64)) if radius_p >= 0 else at_home
         many = np.ceil(got / task_rows).astype(int)
         blocks.append({int(c): int(many[c]) for c in np.flatnonzero(got > 2 * task_rows)})
     return Plan(parts, radii, cube_bits, tuple(blocks))
@@ -264,7 +273,7 @@ def _masks(width: int, radius: int) -> np.ndarray:
 
 
 def send(prints: DataFrame, how: Plan) -> DataFrame:
-    """Each fingerprint once for its sub-cube of every part, and once for each sub-cube within the radius; to all tiles of its block."""
+    """Each fingerprint once for its sub-cube of every part, and once for each that it visits within the radius; to all tiles of its block."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
@@ -280,13 +289,14 @@ def send(prints: DataFrame, how: Plan) -> DataFrame:
             for c, n in how.blocks[p].items():
                 many[c] = n
             for mask in _masks(cube, radius):
-                to, own = (home ^ mask).astype(np.int64), np.full(len(f0), mask == 0)
-                n = many[to]
-                at = np.repeat(np.arange(len(f0)), n)
-                block = (lot % n.astype(np.uint64)).astype(np.int64)[at]
+                to = (home ^ mask).astype(np.int64)
+                goes = np.flatnonzero(visits(home, home ^ mask))
+                n = many[to[goes]]
+                at = np.repeat(goes, n)
+                block = (lot[at] % many[to[at]].astype(np.uint64)).astype(np.int64)
                 other = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-                tile = np.minimum(block, other) * n[at] + np.maximum(block, other)
-                out.append((at, np.full(len(at), p, np.int32), to[at].astype(np.int32), tile, own[at]))
+                tile = np.minimum(block, other) * many[to[at]] + np.maximum(block, other)
+                out.append((at, np.full(len(at), p, np.int32), to[at].astype(np.int32), tile, np.full(len(at), mask == 0)))
         if not out:
             return None
         at, part, cube, tile, own = (np.concatenate(x) for x in zip(*out))
