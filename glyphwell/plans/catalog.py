@@ -810,7 +810,7 @@ def detection_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.gates(detection_with_context(spark, sf_dir))
 
 
-@query("dictionary_hits", f"""{_TOKENS_LABELLED} SELECT count(*) AS tokens, count(*) AS in_wide, count_if(token <> {quoted(_SET_IN[0][0])}) AS in_narrow, 1.0::DOUBLE AS wide_rate, round(count_if(token <> {quoted(_SET_IN[0][0])}) / count(*), 6) AS narrow_rate FROM l WHERE split = 'test' AND label = 'legacy'""")
+@query("dictionary_hits", f"""{_TOKENS_LABELLED} SELECT count(*) AS tokens, count(*) AS in_wide, count_if(token <> {quoted(_SET_IN[0][0])})::BIGINT AS in_narrow, 1.0::DOUBLE AS wide_rate, round(count_if(token <> {quoted(_SET_IN[0][0])}) / count(*), 6) AS narrow_rate FROM l WHERE split = 'test' AND label = 'legacy'""")
 def dictionary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Legacy tokens are those set in; all are in the wide list, and the narrow one lacks the first. Rates are of the test split."""
     wide, narrow = ([(w,) for w in words] for words in (_LEXICON_WORDS, _LEXICON_WORDS[1:4]))
