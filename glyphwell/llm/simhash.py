@@ -19,8 +19,9 @@ in at most ``FULL_RADIUS``. The search for such pairs is exact:
   spanning forest of the near pairs, which has the same connected components and
   at most one edge a row.
 * In a task, rows of equal value are first held against a few leaders of theirs,
-  and pairs that are already connected are not candidates any more, so a crowd of
-  near copies costs a few comparisons a row.
+  and rows of a large tree pass over that tree, so a crowd of near copies costs a
+  few comparisons a row. Rows are sorted by value once, and again only when trees
+  have grown by an eighth of all rows; no pair is compared from both sides.
 
 Groups are the connected components. Equal fingerprints are collapsed before
 the search, so thousands of equal copies cost one row.
@@ -60,6 +61,8 @@ TASK_ROWS = 100_000
 ROW_COST = 60.0
 #: Rows of one value that are held against leaders first, and rounds of leaders.
 CROWD, LEADERS = 64, 4
+#: Pairs of two values from which they are compared as one block.
+BLOCK = 1 << 12
 
 _SEEDS = (np.uint64(0), np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D))
 # Byte b as eight byte-wide lanes, lane k holding bit k: lanes add up to 255 words at once.
@@ -305,8 +308,17 @@ def send(prints: DataFrame, how: Plan) -> DataFrame:
     return map_batches(prints.select(*_FINGERPRINT), run, "part int, cube int, tile bigint, own boolean, key bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
 
 
-def link(f: np.ndarray, own: np.ndarray, bits: tuple[int, ...], part_radius: int, radius: int, full_radius: int, most: int = 1 << 21) -> Forest:
-    """A forest of the rows of ``f`` (rows, 4) that joins all pairs, one of them own, within ``part_radius`` in the part and near over all bits."""
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers begin .. begin + size - 1 of each range in turn."""
+    return np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
+def link(f: np.ndarray, own: np.ndarray, bits: tuple[int, ...], part_radius: int, radius: int, full_radius: int, most: int = 1 << 16) -> Forest:
+    """A forest of the rows of ``f`` (rows, 4) that joins all pairs, one of them own, within ``part_radius`` in the part and near over all bits.
+
+    Rows of equal value are all own or none is. They lie side by side, so candidates
+    are read in runs, in pieces of ``most`` that stay in the processor's cache.
+    """
     forest = Forest(len(f))
 
     def add(i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -326,34 +338,69 @@ def link(f: np.ndarray, own: np.ndarray, bits: tuple[int, ...], part_radius: int
         leader = alive[head][own_value]
         near = add(leader, alive)
         alive = alive[~near]
-    mine = np.flatnonzero(own)
-    mine_distinct, mine_slot = np.unique(value[mine], return_inverse=True)
-    for mask in _masks(len(bits), part_radius):
+    start = np.append(0, np.cumsum(np.bincount(value, minlength=1 << len(bits))))
+    is_own = np.zeros(1 << len(bits), bool)
+    is_own[value[own]] = True
+    mine = np.flatnonzero(is_own).astype(np.uint32)
+
+    def sort() -> None:
+        """Rows by value and then by tree, so that in a value each tree is one run."""
+        nonlocal order, first, root, named, crowded, many
         root = forest.root(np.arange(len(f)))
         order = np.lexsort((root, value))
-        distinct, start = np.unique(value[order], return_index=True)
-        stop = np.append(start[1:], len(value))
-        at = np.searchsorted(distinct, mine_distinct ^ mask)
-        at[at == len(distinct)] = 0
-        hit = distinct[at] == (mine_distinct ^ mask) if len(distinct) else np.zeros(len(at), bool)
-        low, high = np.where(hit, start[at], 0)[mine_slot], np.where(hit, stop[at], 0)[mine_slot]
-        # Of a crowd, those of the row's own tree are passed over.
-        crowd = np.flatnonzero(high - low > CROWD)
-        named = (value[order].astype(np.uint64) << np.uint64(32)) | root[order].astype(np.uint64)
-        wanted = ((value[mine[crowd]] ^ mask).astype(np.uint64) << np.uint64(32)) | root[mine[crowd]].astype(np.uint64)
-        left, right = np.searchsorted(named, wanted), np.searchsorted(named, wanted, side="right")
-        rows = np.concatenate((mine, mine[crowd]))
-        begins, sizes = np.concatenate((low, right)), np.concatenate((high - low, high[crowd] - right))
-        sizes[crowd] = left - low[crowd]
-        ends = np.cumsum(sizes)
-        a = 0
-        while a < len(rows):  # so many rows that their candidates fit into memory
+        root, first = root[order], f[order, 0]
+        named = (value[order].astype(np.uint64) << np.uint64(32)) | root.astype(np.uint64)
+        # Rows of large trees, and how many of them stand before each place.
+        crowded = np.bincount(root, minlength=1)[root] > CROWD
+        many = np.append(0, np.cumsum(crowded))
+
+    def compare(rows: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """Hold each row against ``size`` rows from ``begin`` on."""
+        ends, a = np.cumsum(size), 0
+        while a < len(rows):
             before = ends[a - 1] if a else 0
             b = max(a + 1, int(np.searchsorted(ends, before + most, side="right")))
-            count = sizes[a:b]
-            i = np.repeat(rows[a:b], count)
-            add(i, order[np.repeat(begins[a:b] - (ends[a:b] - count) + before, count) + np.arange(len(i))])
+            other = _ranges(begin[a:b], size[a:b])
+            at = np.flatnonzero(np.bitwise_count(np.repeat(first[rows[a:b]], size[a:b]) ^ first[other]) <= radius)
+            if len(at):
+                add(order[rows[a + np.searchsorted(ends[a:b] - before, at, side="right")]], order[other[at]])
             a = b
+
+    def compare_all(low: int, high: int, begin: int, end: int) -> None:
+        """Hold the rows ``low`` .. ``high`` against ``begin`` .. ``end``."""
+        step = max(1, most // (end - begin))
+        for a in range(low, high, step):
+            near = np.bitwise_count(first[a : min(a + step, high), None] ^ first[None, begin:end]) <= radius
+            if near.any():
+                i, j = np.nonzero(near)
+                add(order[a + i], order[begin + j])
+
+    order = first = root = named = crowded = many = None
+    sort()
+    for mask in _masks(len(bits), part_radius):
+        other = mine ^ mask
+        # Of two own values the lower one's rows meet the higher one's.
+        meet = (start[other + 1] > start[other]) & ((mine <= other) | ~is_own[other])
+        low, high, begin, end = start[mine[meet]], start[mine[meet] + 1], start[other[meet]], start[other[meet] + 1]
+        # Large blocks at once, unless rows of large trees are there, whose own tree is passed over.
+        large = ((high - low) * (end - begin) >= BLOCK) & (many[high] == many[low])
+        for block in zip(low[large].tolist(), high[large].tolist(), begin[large].tolist(), end[large].tolist()):
+            compare_all(*block)
+        low, high, begin, end = low[~large], high[~large], begin[~large], end[~large]
+        size = high - low
+        rows, begin, end = _ranges(low, size), np.repeat(begin, size), np.repeat(end, size)
+        if not mask:
+            begin = rows + 1
+        crowd = crowded[rows] & (end - begin > CROWD)
+        wanted = (value[order[rows[crowd]]] ^ mask).astype(np.uint64) << np.uint64(32) | root[rows[crowd]].astype(np.uint64)
+        left = np.clip(np.searchsorted(named, wanted), begin[crowd], end[crowd])
+        right = np.clip(np.searchsorted(named, wanted, side="right"), begin[crowd], end[crowd])
+        rest = np.flatnonzero(crowd)
+        size = end - begin
+        size[rest] = left - begin[rest]
+        compare(np.concatenate((rows, rows[rest])), np.concatenate((begin, right)), np.concatenate((size, end[rest] - right)))
+        if 8 * np.count_nonzero(forest.root(order) != root) >= len(f):
+            sort()
     return forest
 
 
