@@ -14,8 +14,8 @@ in at most ``FULL_RADIUS``. The search for such pairs is exact:
   neighbouring sub-cubes within its radius: of two neighbours a hash names the one
   that the other's rows visit. The rows that each sub-cube gets are counted
   beforehand; one of over ``2 * TASK_ROWS`` is dealt to blocks by a hash, and its
-  tasks are the pairs of blocks, so no task outgrows that, however the values
-  crowd. Each task probes its rows, verifies the candidates, and hands on only a
+  tasks are the pairs of two blocks, so no task outgrows that, however the values
+  crowd. A part has as many sub-cubes as send the fewest rows by that count. Each task probes its rows, verifies the candidates, and hands on only a
   spanning forest of the near pairs, which has the same connected components and
   at most one edge a row.
 * In a task, rows of equal value are first held against a few leaders of theirs,
@@ -55,10 +55,10 @@ from glyphwell.session import cut, free_names
 #: Most differing bits of near copies: among the first 64, and among all 256.
 RADIUS = 10
 FULL_RADIUS = 36
-#: Rows that one probing task should hold.
-TASK_ROWS = 100_000
+#: Rows that one probing task should hold; some 100 bytes each.
+TASK_ROWS = 400_000
 #: Cost of a row sent to a sub-cube, in verified candidates.
-ROW_COST = 60.0
+ROW_COST = 300.0
 #: Rows of one value that are held against leaders first, and rounds of leaders.
 CROWD, LEADERS = 64, 4
 #: Pairs of two values from which they are compared as one block.
@@ -253,23 +253,49 @@ def plan(prints: DataFrame, radius: int = RADIUS, task_rows: int = TASK_ROWS) ->
 
     found = prints.select("f0").mapInArrow(values, "p int, v int, c bigint").groupBy("p", "v").agg(F.sum("c").alias("c")).toArrow()
     p_of, v_of, c_of = (found.column(k).to_numpy() for k in ("p", "v", "c"))
-    cubes = max(0, int(np.ceil(np.log2(max(1.0, n * 4 / task_rows)))))
-    cost = []
+    most_cubes = max(0, int(np.ceil(np.log2(max(1.0, n * 8 / task_rows)))))
+    cost, choice = [], []
     for p, bits in enumerate(parts):
         mine = p_of == p
         pairs = candidate_counts(v_of[mine], c_of[mine], len(bits), max(total + m - 1, 0)) / 2
         most = min(len(bits), total + m - 1)
-        cost.append([0.0] + [pairs[t] + n * (ROW_COST * (1 + _ball(_cube(len(bits), cubes), t)) / 2 + 4 * _ball(len(bits), t)) for t in range(most + 1)])
-    radii, cube_bits, blocks = allocate(cost, total), tuple(_cube(len(bits), cubes) for bits in parts), []
+        # The number of sub-cubes that has the fewest rows sent, those for further tiles included.
+        sent = [rows_sent(v_of[mine], c_of[mine], cube, most, task_rows) for cube in range(_cube(len(bits), most_cubes) + 1)]
+        choice.append([int(np.argmin([s[t] for s in sent])) for t in range(most + 1)])
+        cost.append([0.0] + [pairs[t] + ROW_COST * sent[choice[p][t]][t] + n * 4 * _ball(len(bits), t) for t in range(most + 1)])
+    radii, blocks = allocate(cost, total), []
+    cube_bits = tuple(choice[p][max(radius_p, 0)] for p, radius_p in enumerate(radii))
     for p, (radius_p, cube) in enumerate(zip(radii, cube_bits)):
-        at_home = np.bincount(v_of[p_of == p] & ((1 << cube) - 1), weights=c_of[p_of == p], minlength=1 << cube)
-        every = np.arange(1 << cube)
-        got = sum(at_home[every ^ mask] * visits(every ^ mask, every) for mask in _masks(cube, radius_p).astype(np.int64)) if radius_p >= 0 else at_home
-        many = np.ceil(got / task_rows).astype(int)
-        blocks.append({int(c): int(many[c]) for c in np.flatnonzero(got > 2 * task_rows)})
+        got = rows_got(v_of[p_of == p], c_of[p_of == p], cube, max(radius_p, 0))[-1]
+        many = tiles(got, task_rows)
+        blocks.append({int(c): int(many[c]) for c in np.flatnonzero(many > 1)})
     return Plan(parts, radii, cube_bits, tuple(blocks))
 
 
+def rows_got(values: np.ndarray, counts: np.ndarray, cube: int, most: int) -> np.ndarray:
+    """(radius, sub-cube): rows that each sub-cube gets, its own and visitors, at radius 0 .. ``most``."""
+    at_home = np.bincount(values & ((1 << cube) - 1), weights=counts, minlength=1 << cube)
+    every, got = np.arange(1 << cube), np.zeros((most + 1, 1 << cube))
+    for mask in _masks(cube, most).astype(np.int64):
+        got[int(mask).bit_count()] += at_home[every ^ mask] * visits(every ^ mask, every)
+    return np.cumsum(got, axis=0)
+
+
+def tiles(got: np.ndarray, task_rows: int) -> np.ndarray:
+    """The blocks that a sub-cube of so many rows is dealt to; each row goes to as many tiles less one."""
+    return np.where(got > 2 * task_rows, np.ceil(got / task_rows), 1)
+
+
+def rows_sent(values: np.ndarray, counts: np.ndarray, cube: int, most: int, task_rows: int) -> np.ndarray:
+    """All rows that are sent at radius 0 .. ``most``; infinite where counting them would take too long."""
+    least = next((t for t in range(most + 1) if _ball(cube, t) << cube > 1 << 20), most + 1)
+    out = np.full(most + 1, np.inf)
+    if least:
+        got = rows_got(values, counts, cube, least - 1)
+        out[:least] = (got * np.maximum(tiles(got, task_rows) - 1, 1)).sum(axis=1)
+    return out
+
+
 def _masks(width: int, radius: int) -> np.ndarray:
     every = np.arange(1 << width, dtype=np.uint32)
     return every[np.bitwise_count(every) <= radius]
@@ -294,10 +320,12 @@ def send(prints: DataFrame, how: Plan) -> DataFrame:
             for mask in _masks(cube, radius):
                 to = (home ^ mask).astype(np.int64)
                 goes = np.flatnonzero(visits(home, home ^ mask))
-                n = many[to[goes]]
+                n = np.maximum(many[to[goes]] - 1, 1)
                 at = np.repeat(goes, n)
                 block = (lot[at] % many[to[at]].astype(np.uint64)).astype(np.int64)
+                # Every other block, with which a row meets its own block too.
                 other = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                other += (other >= block) & (many[to[at]] > 1)
                 tile = np.minimum(block, other) * many[to[at]] + np.maximum(block, other)
                 out.append((at, np.full(len(at), p, np.int32), to[at].astype(np.int32), tile, np.full(len(at), mask == 0)))
         if not out:
@@ -328,6 +356,9 @@ def link(f: np.ndarray, own: np.ndarray, bits: tuple[int, ...], part_radius: int
         forest.add(i[near], j[near])
         return near
 
+    if len(f) <= CROWD:
+        add(*np.triu_indices(len(f), 1))
+        return forest
     value = part_value(f[:, 0], bits)
     _, slot, size = np.unique(value, return_inverse=True, return_counts=True)
     alive = np.flatnonzero(size[slot] > CROWD)
