@@ -43,11 +43,17 @@ def judge_of(known: DataFrame) -> J.Judge | None:
 
 def struct_column(f: Callable[[str], tuple], fields: dict[str, str]) -> Callable[[Column], Column]:
     """``f`` over a string column in Arrow batches as a struct; null stays null. Equal values of a batch are worked out once."""
+    return struct_column_of_all(lambda values: [f(v) for v in values], fields)
+
+
+def struct_column_of_all(f: Callable[[list[str]], list[tuple]], fields: dict[str, str]) -> Callable[[Column], Column]:
+    """The same of an ``f`` that takes all distinct values of a batch at once."""
     names = list(fields)
 
     @F.pandas_udf(", ".join(f"{name} {kind}" for name, kind in fields.items()))
     def run(values: pd.Series) -> pd.DataFrame:
-        known = {v: f(v) for v in values.dropna().unique()}
+        distinct = list(values.dropna().unique())
+        known = dict(zip(distinct, f(distinct)))
         nothing = (None,) * len(names)
         return pd.DataFrame([known.get(v, nothing) for v in values], columns=names, dtype=object)
 
@@ -91,7 +97,7 @@ def features(words: DataFrame, known: DataFrame) -> DataFrame:
     stop = F.col("has_bengali") | F.col("inert") | F.col("english") | F.col("roman") | F.col("scripts") | F.col("conjunct")
     judged = listed.withColumn("english", is_english).drop("bare", "listed", "stripped", "core_letters").withColumn("hard_stop", stop)
     # Words with a hard stop are null to the conversion, which passes them over.
-    tried = judged.withColumn("converted", kernel.column(kernel.convert)(F.when(~F.col("hard_stop"), word)))
+    tried = judged.withColumn("converted", kernel.column_of_all(kernel.convert_all)(F.when(~F.col("hard_stop"), word)))
     bengali = _small(known.where("lang = 'bn'").select(F.col("word").alias("entry"), F.lit(True).alias("listed")))
     tried = tried.withColumn("entry", X.canonical(X.trim_to_bengali("converted"))).join(bengali, "entry", "left")
     plausible = F.coalesce(X.well_formed("converted") & X.opens_like_bengali("converted"), F.lit(False))
@@ -193,7 +199,7 @@ def convert_if_legacy(df: DataFrame, text: str = "text") -> DataFrame:
     """``detect_lines`` of the column and ``converted``: its conversion if it is legacy as a whole, else as it is."""
     found = detect_lines(df, text)
     legacy = F.col("encoding") == "legacy"
-    return found.withColumn("converted", F.when(legacy, kernel.column(kernel.convert)(F.when(legacy, F.col(text)))).otherwise(F.col(text)))
+    return found.withColumn("converted", F.when(legacy, kernel.column_of_all(kernel.convert_all)(F.when(legacy, F.col(text)))).otherwise(F.col(text)))
 
 
 def looks_legacy(text: X.C) -> Column:
@@ -209,7 +215,7 @@ def looks_legacy(text: X.C) -> Column:
 
 def convert_counted(text: X.C) -> Column:
     """A struct of the forced conversion ``text`` and of ``guesses``, the vowel signs chosen without evidence."""
-    return struct_column(kernel.convert_counted, {"text": "string", "guesses": "bigint"})(X._c(text))
+    return struct_column_of_all(kernel.convert_all_counted, {"text": "string", "guesses": "bigint"})(X._c(text))
 
 
 def detect(text: X.C) -> dict[str, Column]:

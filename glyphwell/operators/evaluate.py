@@ -21,27 +21,30 @@ def _ratio(hits: Column, total: Column) -> Column:
     return F.when(total == 0, 0.0).otherwise(hits / total)
 
 
+def _only(words: DataFrame, *flags: str) -> DataFrame:
+    """``word`` is null where a flag isn't set; such rows stay, to be counted."""
+    return words.select(F.when(F.col(flags[0]) & F.col(flags[1]), F.col("word")).alias("word"), *flags)
+
+
 def trips(words: DataFrame) -> DataFrame:
-    """``word``, ``got``, ``exact`` (but for nukta spellings), ``canonical``, ``size``, ``distance`` of each row of ``word``."""
-    made = words.select("word", kernel.column(lambda w: kernel.convert(kernel.to_legacy(w)))("word").alias("got"))
+    """``word``, ``got``, ``exact`` (but for nukta spellings), ``canonical``, ``size``, ``distance`` of each row of ``word``, and its other columns."""
+    made = words.select("*", kernel.column_of_all(lambda values: kernel.convert_all([kernel.to_legacy(v) for v in values]))("word").alias("got"))
     a, b = X.canonical("word"), X.canonical("got")
     return made.select("*", (X.compose_nukta("word") == X.compose_nukta("got")).alias("exact"), (a == b).alias("canonical"), F.length(a).alias("size"), F.when(a == b, 0).otherwise(F.levenshtein(a, b)).alias("distance"))
 
 
-def _accuracy(tried: DataFrame, **excluded: DataFrame) -> DataFrame:
-    sums = tried.agg(F.count("*").alias("words"), F.count_if("exact").alias("exact"), F.count_if("canonical").alias("right"), F.coalesce(F.sum("size"), F.lit(0)).alias("characters"), F.coalesce(F.sum("distance"), F.lit(0)).alias("wrong_characters"))
+def _accuracy(tried: DataFrame, **excluded: Column) -> DataFrame:
+    """Sums over the rows with a ``word``, and counts of those rows of ``tried`` that were left out for a reason; one pass."""
+    sums = tried.agg(*(F.count_if(c).alias(name) for name, c in excluded.items()), F.count("word").alias("words"), F.count_if("exact").alias("exact"), F.count_if("canonical").alias("right"), F.coalesce(F.sum("size"), F.lit(0)).alias("characters"), F.coalesce(F.sum("distance"), F.lit(0)).alias("wrong_characters"))
     wrong = F.least("wrong_characters", "characters")
     out = sums.withColumns({"word_accuracy": _ratio(F.col("right"), F.col("words")), "exact_accuracy": _ratio(F.col("exact"), F.col("words")), "character_accuracy": _ratio(F.col("characters") - wrong, F.col("characters"))})
-    for name, rows in excluded.items():
-        out = out.crossJoin(rows.agg(F.count("*").alias(name)))  # one row by one row
-    return out
+    return out.select(*(c for c in out.columns if c not in excluded), *excluded)
 
 
 def round_trip_accuracy(words: DataFrame) -> DataFrame:
     """Of a word list: accuracy of words and characters, with the words left out as of mixed scripts or ill formed."""
-    listed = words.select("word").distinct()
-    tested = listed.where(X.testable("word"))
-    return _accuracy(trips(tested.where(X.well_formed("word"))), mixed=listed.where(~X.testable("word")), malformed=tested.where(~X.well_formed("word")))
+    listed = words.select("word").distinct().select("word", X.testable("word").alias("_in"), X.well_formed("word").alias("_well"))
+    return _accuracy(trips(_only(listed, "_in", "_well")), mixed=~F.col("_in"), malformed=F.col("_in") & ~F.col("_well"))
 
 
 def leading_mark(token: X.C) -> Column:
@@ -56,9 +59,8 @@ def grid(consonants: DataFrame, signs: DataFrame) -> DataFrame:
 
 def grid_accuracy(tokens: DataFrame) -> DataFrame:
     """Of a grid's tokens, but for those that open with a mark or are ill formed."""
-    own = tokens.select("word")
-    opened = own.where(~leading_mark("word"))
-    return _accuracy(trips(opened.where(X.well_formed("word"))), leading=own.where(leading_mark("word")), malformed=opened.where(~X.well_formed("word")))
+    own = tokens.select("word", (~leading_mark("word")).alias("_in"), X.well_formed("word").alias("_well"))
+    return _accuracy(trips(_only(own, "_in", "_well")), leading=~F.col("_in"), malformed=F.col("_in") & ~F.col("_well"))
 
 
 def preserved(misspellings: DataFrame) -> DataFrame:
@@ -70,7 +72,7 @@ def preserved(misspellings: DataFrame) -> DataFrame:
 def dictionary_hits(tokens: DataFrame, wide: DataFrame, narrow: DataFrame, split: str = "test") -> DataFrame:
     """Of the legacy tokens of a split, how many are words of either list (``word``) after conversion."""
     made = tokens.where((F.col("split") == split) & (F.col("label") == "legacy")).groupBy("token").agg(F.count("*").alias("n"))
-    made = made.withColumn("entry", X.canonical(X.trim_to_bengali(kernel.column(kernel.convert)("token")))).where("entry <> ''")
+    made = made.withColumn("entry", X.canonical(X.trim_to_bengali(kernel.column_of_all(kernel.convert_all)("token")))).where("entry <> ''")
     lists = [known.select(F.col("word").alias("entry"), F.lit(True).alias(name)).distinct() for known, name in ((wide, "wide"), (narrow, "narrow"))]
     found = made.join(lists[0], "entry", "left").join(lists[1], "entry", "left")
     sums = found.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in (("tokens", F.col("n")), ("in_wide", F.when(F.col("wide"), F.col("n"))), ("in_narrow", F.when(F.col("narrow"), F.col("n"))))))
@@ -128,7 +130,7 @@ def refused_by(judged: DataFrame) -> DataFrame:
 def most_often(judged: DataFrame, label: str, flagged: bool, k: int = 20) -> DataFrame:
     """The ``k`` tokens of a label most often converted, or not, with what they would become."""
     own = judged.where((F.col("label") == label) & (F.col("flagged") == flagged)).groupBy("token").agg(F.count("*").alias("n"))
-    return own.orderBy(F.desc("n"), "token").limit(k).withColumn("becomes", kernel.column(kernel.convert)("token"))
+    return own.orderBy(F.desc("n"), "token").limit(k).withColumn("becomes", kernel.column_of_all(kernel.convert_all)("token"))
 
 
 def gates(measures: DataFrame, wanted: tuple[tuple[str, str, float], ...] = GATES) -> DataFrame:

@@ -97,7 +97,7 @@ def confusion(rows: DataFrame, truth: str, guess: str) -> DataFrame:
 def round_trip(words: DataFrame) -> DataFrame:
     """``word``, ``legacy``, ``got``, ``exact``, ``canonical``, ``distance`` of the testable words."""
     tested = words.select("word").distinct().where(X.testable("word") & X.well_formed("word"))
-    legacy = tested.withColumn("legacy", kernel.column(kernel.to_legacy)("word")).withColumn("got", kernel.column(kernel.convert)("legacy"))
+    legacy = tested.withColumn("legacy", kernel.column(kernel.to_legacy)("word")).withColumn("got", kernel.column_of_all(kernel.convert_all)("legacy"))
     return legacy.select("*", (F.col("word") == F.col("got")).alias("exact"), (X.canonical("word") == X.canonical("got")).alias("canonical"), F.levenshtein("word", "got").alias("distance"))
 
 
