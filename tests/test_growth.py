@@ -6,7 +6,7 @@ import time
 import regex
 
 from glyphwell.functions import kernel as K, tables, text as X
-from glyphwell.operators import evaluate as E, relations as R
+from glyphwell.operators import evaluate as E, relations as R, spans
 from glyphwell.plans import catalog
 
 
@@ -55,3 +55,33 @@ def test_filters_stay_behind_the_distinct_words(spark):
         first_distinct = max(k for k, line in enumerate(lines[:generate]) if "Aggregate" in line)
         assert not any("apply_all" in line or "replace(" in line.lower() or "EvalPython" in line or "RLIKE" in line for line in lines[first_distinct:]), plan[:3000]
         assert sum("Generate" in line for line in lines) <= 2  # the documents' words and the corner words, once each
+
+
+def test_spans_agree_with_the_joins(spark):
+    """In the documents as between tables: runs of every length and font, words over several runs, runs beyond the text, changed pieces over a run's end."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        text = None if k == 0 else "".join(rng.choices(["th", "a", "é", "𝒳", " ", " ", "\n", "this", "bath "], k=rng.randint(0, 40)))
+        runs, at = [], 0
+        for _ in range(rng.randint(0, 9)):
+            stop = at + rng.randint(1, 12)
+            runs.append((at, stop, rng.choice([None, "Arial", "SutonnyMJ", "+SutonnyMJ", "Bijoy", "SutonnyOMJ"])))
+            at = stop + rng.choice([0, 0, 3])
+        rows.append((k, text, None if k == 1 else runs))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, runs array<struct<start bigint, stop bigint, font string>>").repartition(3)
+    tokens = spark.createDataFrame([(k, m.start(), m.end(), m.group()) for k, t, _ in rows for m in regex.finditer(f"[{X.SPACE}]+|[^{X.SPACE}]+", t or "")], "doc_id bigint, start bigint, stop bigint, segment string")
+    length = {k: len(t or "") for k, t, _ in rows}
+    runs = spark.createDataFrame([(k, *r) for k, _, rs in rows for r in rs or [] if r[0] < length[k]], "doc_id bigint, start bigint, stop bigint, font string")
+    F = catalog.F
+    want = {r.font: r.n for r in R.font_of_tokens(tokens.drop("segment"), runs, ["doc_id"]).groupBy("font").agg(F.count("*").alias("n")).collect()}
+    assert {r.font: r.n for r in spans.font_counts(docs).collect()} == want and len(want) > 4
+    changed = F.col("segment").startswith("th")
+    pieces = tokens.select("doc_id", "start", "stop", changed.alias("changed"), F.when(changed, F.concat(F.upper("segment"), F.lit("!"))).otherwise(F.col("segment")).alias("text"))
+    want = {(r.doc_id, r.start): r.out for r in R.text_of_runs(pieces, runs.drop("font"), ["doc_id"]).collect()}
+    words = lambda t: [(*m.span(), m.group().upper() + "!") for m in regex.finditer(f"(?<![^{X.SPACE}])th[^{X.SPACE}]*", t)]
+    got = spans.texts_of_runs(docs, words)
+    assert {(r.doc_id, r.start): r.text for r in got.collect()} == want and any("!" in t for t in want.values())
+    for made in (got, spans.font_counts(docs)):  # a document's segments are no rows
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Window" not in plan and "Generate" not in plan
