@@ -12,13 +12,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from glyphwell.functions import judge as J, kernel, tables, text as X
+from glyphwell.session import free_names
 
 CONTEXT = J.CONTEXT
 #: Largest lexicon that is broadcast, in entries; a longer one is joined by shuffle.
 BROADCAST_WORDS = 2_000_000
+#: Bytes of a batch's texts that Python works on at once.
+SLICE_BYTES = 1 << 20
 
 
 def lexicon(spark: SparkSession, bengali: list[str] | None = None, english: list[str] | None = None) -> DataFrame:
@@ -47,17 +51,24 @@ def struct_column(f: Callable[[str], tuple], fields: dict[str, str]) -> Callable
 
 
 def struct_column_of_all(f: Callable[[list[str]], list[tuple]], fields: dict[str, str]) -> Callable[[Column], Column]:
-    """The same of an ``f`` that takes all distinct values of a batch at once."""
+    """The same of an ``f`` that takes many distinct values at once: those of a slice of a batch, so that memory follows the slice."""
     names = list(fields)
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "float": pa.float32()}
+    made = pa.struct([(name, kinds[kind]) for name, kind in fields.items()])
+    nothing = dict.fromkeys(names)
 
-    @F.pandas_udf(", ".join(f"{name} {kind}" for name, kind in fields.items()))
-    def run(values: pd.Series) -> pd.DataFrame:
-        distinct = list(values.dropna().unique())
-        known = dict(zip(distinct, f(distinct)))
-        nothing = (None,) * len(names)
-        return pd.DataFrame([known.get(v, nothing) for v in values], columns=names, dtype=object)
+    @F.arrow_udf(f"struct<{', '.join(f'{name}: {kind}' for name, kind in fields.items())}>")
+    def run(values: pa.Array) -> pa.Array:
+        out = []
+        step = max(1, len(values) * SLICE_BYTES // max(values.nbytes, 1))
+        for at in range(0, len(values), step):
+            own = values.slice(at, step).to_pylist()
+            distinct = list(dict.fromkeys(v for v in own if v is not None))
+            known = {v: dict(zip(names, row)) for v, row in zip(distinct, f(distinct))}
+            out.append(pa.array([nothing if v is None else known[v] for v in own], made))
+        return pa.concat_arrays(out) if out else pa.array([], made)
 
-    return run
+    return run.asNondeterministic()
 
 
 def segments(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,7 +186,7 @@ def convert_documents(docs: DataFrame, known: DataFrame, key: str = "doc_id", te
     some = value.rlike(f"[{X.BIJOY}]")
     made = struct_column(judge.convert, {"text": "string", "converted": "bigint", "untouched": "bigint"})(F.when(some, value))
     done = docs.select(F.col(key), value.alias("_text"), some.alias("_some"), made.alias("_made"))
-    plain = F.regexp_count("_text", F.lit(f"[^{X.SPACE}]+")).cast("bigint")
+    plain = F.size(X.words("_text")).cast("bigint")
     pick = lambda name, other: F.when(F.col("_some"), F.col(f"_made.{name}")).otherwise(other).alias(name)
     return done.select(key, pick("text", X.compose_vowels("_text")), pick("converted", F.lit(0).cast("bigint")), pick("untouched", plain))
 
@@ -229,33 +240,13 @@ def detect(text: X.C) -> dict[str, Column]:
     return {"considered": considered, "bengali": bengali, "legacy_range": visible, "exotic": exotic, "dense": dense}
 
 
-def _makes_bengali(text: Column) -> Column:
-    """Whether the conversion of a line reads as Bengali, strictly; null stays null."""
-
-    @F.pandas_udf("boolean")
-    def run(values: pd.Series) -> pd.Series:
-        known = {v: J.makes_bengali(v, True) for v in values.dropna().unique()}
-        return pd.Series([known.get(v) for v in values], dtype=object)
-
-    return run(text)
-
-
 def detect_lines(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``encoding``, ``confidence``, ``bengali_ratio`` and ``legacy_ratio`` of its text.
+    """``df`` with ``encoding``, ``confidence``, ``bengali_ratio`` and ``legacy_ratio`` of its text, in one pass over each line.
 
-    The strict trial conversion runs where density doesn't decide.
+    The strict trial conversion runs where density doesn't decide. ``detect`` has the parts as columns.
     """
-    parts = detect(text)
-    for name, value in parts.items():
-        df = df.withColumn(f"_{name}", value)
-    undecided = (F.col("_considered") > 0) & (F.col("_bengali") == 0) & ~F.col("_dense") & ~X.reads_as_english(text) & F.col(text).rlike(r"\p{IsAlphabetic}")
-    df = df.withColumn("_trial", _makes_bengali(F.when(undecided, F.col(text))))
-    strict = F.coalesce("_trial", F.lit(False))
-    ratio = (F.col("_bengali") / F.col("_considered")).cast("float")
-    legacy = (F.col("_dense") | strict) & (F.col("_bengali") * 50 < F.col("_considered"))
-    encoding = F.when(F.col("_considered") == 0, "not_bangla").when(F.col("_bengali") * 100 > F.col("_considered") * 15, "unicode").when(legacy, "legacy").otherwise("not_bangla")
-    share = (F.col("_exotic") / F.col("_considered")).cast("float")
-    confidence = F.when(F.col("_considered") == 0, F.lit(1.0)).when(encoding == "unicode", ratio).when(encoding == "legacy", F.least(F.lit(1.0), share * 5)).otherwise(1 - share)
-    share_of = lambda name: F.when(F.col("_considered") == 0, 0.0).otherwise(F.col(name) / F.col("_considered")).cast("float")
-    df = df.withColumns({"encoding": encoding, "confidence": confidence.cast("float"), "bengali_ratio": share_of("_bengali"), "legacy_ratio": share_of("_legacy_range")})
-    return df.drop(*(f"_{n}" for n in [*parts, "trial"]))
+    fields = {"encoding": "string", "confidence": "float", "bengali_ratio": "float", "legacy_ratio": "float"}
+    (found,) = free_names(df, "_found")
+    made = df.withColumn(found, struct_column_of_all(J.detect_all, fields)(F.col(text)))
+    values = {name: F.col(f"{found}.{name}") for name in fields}
+    return made.withColumns(values | {"encoding": F.coalesce(values["encoding"], F.lit("not_bangla"))}).drop(found)

@@ -6,10 +6,14 @@ once each, and only counts meet on one task.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from glyphwell.functions import kernel, text as X
-from glyphwell.operators import classify
+from glyphwell.functions import judge as J, kernel, text as X
+from glyphwell.operators import classify, spans
 
 LABELS = ("legacy", "legacy_ascii", "unicode", "english", "inert")
 _MUST_NOT = ("unicode", "english", "inert")
@@ -69,9 +73,9 @@ def preserved(misspellings: DataFrame) -> DataFrame:
     return _accuracy(trips(misspellings.select(word.alias("word")).where((F.col("word") != "") & X.testable("word"))))
 
 
-def dictionary_hits(tokens: DataFrame, wide: DataFrame, narrow: DataFrame, split: str = "test") -> DataFrame:
-    """Of the legacy tokens of a split, how many are words of either list (``word``) after conversion."""
-    made = tokens.where((F.col("split") == split) & (F.col("label") == "legacy")).groupBy("token").agg(F.count("*").alias("n"))
+def dictionary_hits(tokens: DataFrame, wide: DataFrame, narrow: DataFrame, split: str = "test", times: str | None = None) -> DataFrame:
+    """Of the legacy tokens of a split, how many are words of either list (``word``) after conversion. A row counts once, or ``times`` over."""
+    made = tokens.where((F.col("split") == split) & (F.col("label") == "legacy")).groupBy("token").agg(_rows(times).alias("n"))
     made = made.withColumn("entry", X.canonical(X.trim_to_bengali(kernel.column_of_all(kernel.convert_all)("token")))).where("entry <> ''")
     lists = [known.select(F.col("word").alias("entry"), F.lit(True).alias(name)).distinct() for known, name in ((wide, "wide"), (narrow, "narrow"))]
     found = made.join(lists[0], "entry", "left").join(lists[1], "entry", "left")
@@ -101,9 +105,13 @@ def _of_split(tokens: DataFrame, split: str) -> DataFrame:
     return tokens.where((F.col("split") == split) & F.col("label").isin(*LABELS))
 
 
-def detection(tokens: DataFrame, split: str = "test") -> DataFrame:
-    """The line detector on single tokens (``split``, ``label``, ``token``), each distinct one judged once."""
-    counted = _of_split(tokens, split).groupBy("label", "token").agg(F.count("*").alias("n"))
+def _rows(times: str | None) -> Column:
+    return F.sum(times) if times else F.count("*")
+
+
+def detection(tokens: DataFrame, split: str = "test", times: str | None = None) -> DataFrame:
+    """The line detector on single tokens (``split``, ``label``, ``token``), each distinct one judged once. A row counts once, or ``times`` over."""
+    counted = _of_split(tokens, split).groupBy("label", "token").agg(_rows(times).alias("n"))
     judged = classify.detect_lines(counted, "token").withColumn("flagged", F.col("encoding") == "legacy")
     return _rates(judged, "n")
 
@@ -116,13 +124,38 @@ def judged_in_context(tokens: DataFrame, known: DataFrame, split: str = "test")
     return classify.with_context(rows, ["doc"], "pos").withColumnRenamed("legacy", "flagged")
 
 
-def detection_with_context(judged: DataFrame) -> DataFrame:
-    return _rates(judged)
+def judged_documents(docs: DataFrame, labels: Callable[[list[str]], list[str]], known: DataFrame, split: str = "test") -> DataFrame:
+    """``label``, ``rule``, ``flagged``, ``n``: the words of a split's documents (``split``, ``text``) as ``judged_in_context`` has them, counted where the document is.
+
+    ``labels`` gives those of a document's words. Neither a word nor a document is
+    shuffled; a lexicon too large for that needs the table of tokens.
+    """
+    if (judge := classify.judge_of(known)) is None:
+        raise ValueError(f"documents are judged with word lists of at most {classify.BROADCAST_WORDS} entries")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in spans.slices(batches):
+            counts: Counter = Counter()
+            for text in batch.column("text").to_pylist():
+                words = J.words(text or "")
+                own = [(label, word) for label, word in zip(labels(words), words) if label in LABELS]
+                rules = judge.rules([word for _, word in own])
+                near = J.in_context({k: rule.startswith("legacy_") for k, rule in enumerate(rules) if rule.startswith(("legacy_", "uncertain_"))})
+                counts.update((label, rule, k in near) for k, ((label, _), rule) in enumerate(zip(own, rules)))
+            rows = [(*key, n) for key, n in counts.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.bool_(), pa.int64()))], ["label", "rule", "flagged", "n"])
+
+    made = docs.where(F.col("split") == split).select("text").mapInArrow(count, "label string, rule string, flagged boolean, n bigint")
+    return made.groupBy("label", "rule", "flagged").agg(F.sum("n").alias("n"))
+
+
+def detection_with_context(judged: DataFrame, times: str | None = None) -> DataFrame:
+    return _rates(judged, times)
 
 
-def refused_by(judged: DataFrame) -> DataFrame:
-    """``rule``, ``n``, ``share``: what kept pure ASCII legacy tokens from being converted."""
-    lost = judged.where((F.col("label") == "legacy_ascii") & ~F.col("flagged")).groupBy("rule").agg(F.count("*").alias("n"))
+def refused_by(judged: DataFrame, times: str | None = None) -> DataFrame:
+    """``rule``, ``n``, ``share``: what kept pure ASCII legacy tokens from being converted. A row counts once, or ``times`` over."""
+    lost = judged.where((F.col("label") == "legacy_ascii") & ~F.col("flagged")).groupBy("rule").agg(_rows(times).alias("n"))
     total = lost.agg(F.sum("n").alias("total"))
     return lost.crossJoin(F.broadcast(total)).select("rule", "n", (F.col("n") / F.col("total")).alias("share"))
 

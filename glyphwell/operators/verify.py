@@ -7,7 +7,7 @@ and is appended to, so an interrupted run goes on with the files it lacks.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -64,13 +64,21 @@ def entries_match(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def _joined(document: bytes) -> str:
-    return "".join(t for name, xml in office.parts(document) if office._TEXT_PART.match(name) for t, _ in office.runs_of_part(xml))
+    return _text_of(office.parts(document))
+
+
+def _text_of(entries: Iterable[tuple[str, bytes]]) -> str:
+    return "".join(t for name, xml in entries if office._TEXT_PART.match(name) for t, _ in office.runs_of_part(xml))
 
 
 def legacy_fonts(document: bytes) -> list[str]:
     """The parts of a container that still name a legacy font where fonts are named."""
+    return _legacy_fonts(office.parts(document))
+
+
+def _legacy_fonts(entries: Iterable[tuple[str, bytes]]) -> list[str]:
     left = []
-    for name, xml in office.parts(document):
+    for name, xml in entries:
         if office._TEXT_PART.match(name) or office._FONT_PART.match(name):
             made = office.rename_fonts(xml, "x")[1]
         elif name == X.METADATA_PART:
@@ -86,7 +94,8 @@ def check_office(content: bytes, judge: Judge, negative: bool = False, font: str
     """Status, counts, hashes and detail of a container's conversion; ``negative``: no word may be converted."""
     bad = lambda why: ("FAILED", 0, 0, 0, "", "", why)
     try:
-        before = _joined(content)
+        old = list(office.parts(content))
+        before = _text_of(old)
     except Exception as e:
         return bad(f"could not be read: {e}")
     try:
@@ -96,21 +105,23 @@ def check_office(content: bytes, judge: Judge, negative: bool = False, font: str
     if negative and made.converted:
         return bad(f"{made.converted} words converted in a document that should stay as it is")
     try:
-        after, old, new = _joined(out), list(office.parts(content)), list(office.parts(out))
+        new = list(office.parts(out))
+        after = _text_of(new)
     except Exception as e:
         return bad(f"the converted file could not be read again: {e}")
     if not made.changed and old != new:
         return bad("nothing was converted, yet an entry differs")
-    if len(before.split()) != len(after.split()):
-        return bad(f"words changed: {len(before.split())} became {len(after.split())}")
-    spaces = [sum(c.isspace() for c in t) for t in (before, after)]
+    words = [t.split() for t in (before, after)]
+    if len(words[0]) != len(words[1]):
+        return bad(f"words changed: {len(words[0])} became {len(words[1])}")
+    spaces = [len(t) - sum(map(len, own)) for t, own in zip((before, after), words)]
     if spaces[0] != spaces[1]:
         return bad(f"whitespace changed: {spaces[0]} became {spaces[1]}")
     if [n for n, _ in old] != [n for n, _ in new] or any(a != b and not (office._TEXT_PART.match(n) or office._FONT_PART.match(n) or n == X.METADATA_PART) for (n, a), (_, b) in zip(old, new)):
         return bad("entries changed that hold neither text nor fonts")
-    if left := legacy_fonts(out):
+    if left := _legacy_fonts(new):
         return bad(f"a legacy font is left in {', '.join(left)}")
-    if again := office.convert_container(out, judge, font)[1].converted:
+    if again := sum(made.converted for _, _, made in office.converted_parts(new, judge, font)):
         return bad(f"a second pass converted {again} more words")
     entries_hash = _sha("".join(sorted(f"{n}\0{_sha(b)}\n" for n, b in new)).encode())
     return ("ok" if made.converted else "untouched", made.converted, made.untouched, made.fonts, _sha(out), entries_hash, "")

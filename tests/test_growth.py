@@ -5,7 +5,7 @@ import time
 
 import regex
 
-from glyphwell.functions import kernel as K, tables, text as X
+from glyphwell.functions import judge as J, kernel as K, tables, text as X
 from glyphwell.operators import evaluate as E, relations as R, spans
 from glyphwell.plans import catalog
 
@@ -85,3 +85,61 @@ def test_spans_agree_with_the_joins(spark):
     for made in (got, spans.font_counts(docs)):  # a document's segments are no rows
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and "Window" not in plan and "Generate" not in plan
+
+
+def test_no_legacy_word_is_passed_over(spark):
+    """Words that aren't converted at first are never legacy alone; the tables behind that move no consonant."""
+    assert all(J.bones(a) == J.bones(b) for a, b in tables.rules("post"))
+    stems = [s for s in tables.words("stem") if len(s) >= 2]
+    judge = J.Judge(frozenset(K.compose_vowels(K.compose_nukta(s)) for s in stems), frozenset())
+    rng = random.Random(9)
+    glyphs = [a for a, _ in tables.rules("main") if a.strip()]
+    words = [w for w in {*catalog.CORNERS, *map(K.to_legacy, stems), *("“" + K.to_legacy(s) + "”" for s in stems), *("".join(rng.choices(glyphs, k=rng.randint(1, 6))) for _ in range(4000))} if J._BIJOY.search(w)]
+    may = judge.may_be_legacy(words)
+    sure = [judge._alone(w)[0].startswith("legacy") for w in words]
+    assert all(m for m, s in zip(may, sure) if s) and sum(sure) > 100 and not all(may)
+    plain = [w for w, m in zip(words, may) if not m]
+    made = dict(zip(words, K.convert_all(words)))
+    assert all(J.bones(made[w]) == J.bones(K._apply(K._apply(K._apply(w, "pre"), "main"), "corrections")) for w in words) and plain
+
+
+def test_lines_detected_together(spark):
+    lines = [*catalog.CORNER_LINES, *some_texts(150), "1 2 3", "ß ü", "a" * 30 + "ÿ"]
+    together = J.detect_all(lines)
+    for line, (encoding, *shares) in zip(lines, together):
+        one = J.detect(line)
+        assert encoding == one[0] and all(abs(a - b) < 1e-6 for a, b in zip(shares, one[1:])), line
+
+
+def test_tokens_judged_in_their_documents(spark):
+    """Labels, rules and context as the table of tokens has them, and no row for a word."""
+    F = catalog.F
+    rng = random.Random(4)
+    fonts = [None, "SutonnyMJ", "Arial", "Bijoy", "+SutonnyMJ", "SutonnyOMJ"]
+    pool = [*catalog.CORNERS, *["bvg"] * 400, *["Kg©m~wP"] * 200, "the", "Avwg", "x", "1", "é1é"]
+    some = [(w, f) for w in {*pool} for f in fonts]
+    rows = spark.createDataFrame(some, "token string, font string").select("token", "font", X.token_label("token", "font").alias("label")).collect()
+    assert all(J.token_label(r.token, r.font) == r.label for r in rows) and {r.label for r in rows} >= {*E.LABELS, "font_disputed", "other_legacy", "unknown_font"}
+    texts = [None, "", *(" ".join(rng.choices(pool, k=rng.randint(1, 40))) for _ in range(60))]
+    docs = spark.createDataFrame([(k, "test" if k % 5 else "tune", t) for k, t in enumerate(texts)], "doc bigint, split string, text string").repartition(3)
+    label = lambda k, w: J.token_label(w, fonts[k % 3])
+    tokens = spark.createDataFrame([(s, d, k, label(k, w), w) for d, s, t in docs.collect() for k, w in enumerate(J.words(t or ""))], "split string, doc bigint, pos int, label string, token string")
+    known = catalog.classify.lexicon(spark, bengali=catalog._LEXICON_WORDS)
+    want = {tuple(r) for r in E.judged_in_context(tokens, known).groupBy("label", "rule", "flagged").count().collect()}
+    made = E.judged_documents(docs, lambda words: [label(k, w) for k, w in enumerate(words)], known)
+    assert {tuple(r) for r in made.select("label", "rule", "flagged", "n").collect()} == want and len({w[2] for w in want}) == 2
+    assert E.detection_with_context(made, "n").first() == E.detection_with_context(E.judged_in_context(tokens, known)).first()
+    for name in ("refused_by", "context_window_6", "label_table_counts"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "SortMergeJoin" not in plan, name
+
+
+def test_office_steps_give_back_pieces(spark, monkeypatch):
+    """Texts of files are joined where they are read, in bounded pieces, and a container's conversion isn't run again to read it."""
+    F = catalog.F
+    files = spark.createDataFrame([(f"/{k}.docx", bytearray(catalog.office.write_docx(t))) for k, t in enumerate(["one\ttwo\nthree", "", "é\n\n"])] + [("/bad.docx", bytearray(b"-"))], "path string, content binary")
+    got = {r.path: (r.text, r.error is None) for r in catalog.office.texts(files).collect()}
+    assert got == {"/0.docx": ("onetwo\nthree\n", True), "/1.docx": ("\n", True), "/2.docx": ("é\n\n\n", True), "/bad.docx": (None, False)}
+    assert {r.path: r.t for r in files.select("path", catalog.office.first_run("content").alias("t")).collect()} == {"/0.docx": "one", "/1.docx": "\n", "/2.docx": "é", "/bad.docx": None}
+    plan = lambda name: catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("office_rewrite").count("MapInPandas") == 1 and "Aggregate" not in plan("office_runs")
